@@ -34,16 +34,15 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
-def _hashed(line: Column, min_chars: int) -> Column:
-    """struct(h1, h2) of the line's key, null if that is too short."""
-    key = line_key(line)
-    # Most short lines are told by their length alone.
-    return F.when((F.char_length(line) >= min_chars) & (F.char_length(key) >= min_chars), F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
+def _hashed(lines: Column, min_chars: int) -> Column:
+    """For each line struct(h1, h2) of its key, null if that is too short; the key is made once, and only of lines long enough."""
+    keys = F.transform(lines, lambda x: F.when(F.char_length(x) >= min_chars, line_key(x)))
+    return F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"))))
 
 
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, h1, h2), once for each document row and long line; rows without a doc_id give none."""
-    each = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), lambda x: _hashed(x, min_chars)), lambda x: x.isNotNull()))
+    each = F.array_distinct(F.filter(_hashed(lines_of(F.col("text")), min_chars), lambda x: x.isNotNull()))
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(each).alias("h")).select("doc_id", "h.h1", "h.h2")
 
 
@@ -107,7 +106,8 @@ def without(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) -> Da
     """``docs`` with the lines of ``drops`` (doc_id, h1, h2) taken out of ``text``, and n_lines and n_dropped (named __tq_n_lines and __tq_n_dropped)."""
     gone = drops.groupBy(F.col("doc_id").alias("__tq_id")).agg(F.collect_set(F.struct(*HASH)).alias("__tq_gone"))
     lines = lines_of(F.col("text"))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__tq_gone"), _hashed(x, min_chars)), F.lit(False)))
+    each = F.arrays_zip(lines.alias("line"), _hashed(lines, min_chars).alias("h"))
+    kept = F.transform(F.filter(each, lambda x: x["h"].isNull() | ~F.array_contains(F.col("__tq_gone"), x["h"])), lambda x: x["line"])
     joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["__tq_id"], "left")
     cut = joined.withColumn("__tq_kept", F.when(F.col("__tq_gone").isNotNull(), kept))
     cut = cut.withColumn("__tq_n_lines", F.size(lines).cast("long"))
