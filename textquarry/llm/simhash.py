@@ -68,7 +68,7 @@ def fingerprint(text: bytes | None) -> int:
 def _fingerprints(batches):
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
-        out = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
+        out = np.fromiter(map(fingerprint, texts.to_pylist()), np.uint64, len(texts))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
 
