@@ -179,7 +179,7 @@ def encoded(docs: DataFrame, model: str = MODEL, threads: int = 2, parity_share:
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids), pa.array(trip, pa.bool_()), pa.array(parity, pa.bool_())], [*batch.schema.names, "__tq_ids", "__tq_round_trip", "__tq_parity"])
 
     typed = docs.withColumn("text", F.col("text").cast("string"))
-    extra = {"__tq_ids": F.array().cast("array<int>"), "__tq_round_trip": F.lit(None).cast("boolean"), "__tq_parity": F.lit(None).cast("boolean")}
+    extra = {"__tq_ids": F.lit(None).cast("array<int>"), "__tq_round_trip": F.lit(None).cast("boolean"), "__tq_parity": F.lit(None).cast("boolean")}
     return typed.mapInArrow(encode, typed.withColumns(extra).schema)
 
 
@@ -219,7 +219,7 @@ def decoded(rows: DataFrame, ids: str = "__tq_ids", model: str = MODEL) -> DataF
             found = iter(tokenizer.decode_batch([x for x in each if x is not None], skip_special_tokens=False))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else next(found) for x in each], pa.string())], [*batch.schema.names, "__tq_text"])
 
-    return rows.mapInArrow(decode, rows.withColumn("__tq_text", F.lit("")).schema)
+    return rows.mapInArrow(decode, rows.withColumn("__tq_text", F.lit(None).cast("string")).schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
