@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "linededup", "secrets", "decontam", "toxicity", "sentencepieces", "licenses", "multiindex", "urlfilter")
+MODULES = ("simhash", "linededup", "secrets", "decontam", "toxicity", "sentencepieces", "licenses", "multiindex", "urlfilter", "quality")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:
