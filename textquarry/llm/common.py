@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,18 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, in batches of at most ``most`` bytes of ``column`` (or one row), so
+    that a worker's memory follows the longest text and not how many rows Spark sends at once."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        group = (np.cumsum(sizes + 64, dtype=np.int64) - sizes - 64) // most
+        starts = [0, *(np.nonzero(np.diff(group))[0] + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            if a < b or not batch.num_rows:
+                yield batch.slice(a, b - a)
+
+
 def ascii_lower(column):
     """A-Z only: `lower` where a text is ASCII, else letter by letter."""
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))

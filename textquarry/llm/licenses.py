@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import table
+from textquarry.llm.common import slices, table
 
 THRESHOLD = 0.8
 #: Phrases and labels of the contract.
@@ -132,7 +132,7 @@ def corpus_counts(docs: DataFrame, words: frozenset[bytes]) -> dict[bytes, int]:
 
     def counted(batches):
         total: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 total.update(filter(words.__contains__, words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
@@ -154,7 +154,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, threshold: float = THR
 
     def scanned(batches):
         every = Templates(templates, counts, threshold)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words = words_of(text)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import table, written
+from textquarry.llm.common import slices, table, written
 
 SAMPLE = 20_000
 FOLDS, HELD_OUT = 5, 0
@@ -47,7 +47,7 @@ def features(text: bytes | None) -> list[float]:
 
 
 def _measured(batches):
-    for batch in batches:
+    for batch in slices(batches):
         x = np.array([features(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.float64).reshape(batch.num_rows, len(FEATURES))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("host"), batch.column("path"), lists], ["id", "host", "path", "x"])

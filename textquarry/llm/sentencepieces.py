@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import table
+from textquarry.llm.common import slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\N{LOWER ONE EIGHTH BLOCK}"
@@ -165,14 +165,14 @@ def encoded(docs: DataFrame, model: str = MODEL, threads: int = 2, parity_share:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         tokenizer, theirs, table, prefix = encoder(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             ids, trip, parity = [None] * len(texts), [None] * len(texts), [None] * len(texts)
-            for some in _groups(texts):
-                for i, e in zip(some, tokenizer.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)):
-                    own = e.ids
-                    trip[i] = b"".join([table[k] for k in own])[prefix and len(own) > 0 :] == texts[i].encode()
-                    ids[i] = np.array(own, np.int32)
+            some = [i for i, t in enumerate(texts) if t is not None]
+            for i, e in zip(some, tokenizer.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)):
+                own = e.ids
+                trip[i] = b"".join([table[k] for k in own])[prefix and len(own) > 0 :] == texts[i].encode()
+                ids[i] = np.array(own, np.int32)
             chosen = [i for i, t in enumerate(texts) if t is not None and zlib.crc32(t.encode()) % parity_share == 0]
             for i, own in zip(chosen, theirs.encode([texts[i] for i in chosen], num_threads=1) if chosen else ()):
                 parity[i] = ids[i].tolist() == own
@@ -189,21 +189,6 @@ def _lists(ids: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat), mask=pa.array([x is None for x in ids], pa.bool_()))
 
 
-def _groups(texts: list, most: int = 2_000_000):
-    """Places of the texts that aren't null, in groups of at most ``most`` characters (or one text)."""
-    group, size = [], 0
-    for i, t in enumerate(texts):
-        if t is None:
-            continue
-        if group and size + len(t) > most:
-            yield group
-            group, size = [], 0
-        group.append(i)
-        size += len(t)
-    if group:
-        yield group
-
-
 def decoded(rows: DataFrame, ids: str = "__tq_ids", model: str = MODEL) -> DataFrame:
     """All rows and columns with __tq_text, the text of ``ids``. Null ids give a null text; an id outside of the model fails."""
     spark = rows.sparkSession

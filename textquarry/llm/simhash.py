@@ -18,7 +18,8 @@ spanning forest of its links, never all its pairs; components follow from these.
 
 from __future__ import annotations
 
-from itertools import repeat
+from functools import lru_cache
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import connected_components, table, written
+from textquarry.llm.common import connected_components, slices, table, written
 
 SEED, SHINGLE, MOST_BITS = 42, 4, 4
 RADIUS, SHIFTS, WIDTHS = 3, (0, 21, 42), (21, 21, 22)
@@ -66,7 +67,7 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column("text").cast(pa.binary())
         out = np.fromiter(map(fingerprint, texts.to_pylist()), np.uint64, len(texts))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
@@ -80,14 +81,14 @@ def _remainders(words: np.ndarray) -> np.ndarray:
     return words
 
 
+@lru_cache(maxsize=4)
 def _near(excess: int) -> tuple[np.ndarray, np.ndarray]:
     """By syndrome (starts, patterns): the patterns of RADIUS + ``excess`` bits, or up to RADIUS at excess 0."""
-    all_words = np.arange(1 << 23, dtype=np.uint32)
-    weight = np.bitwise_count(all_words)
-    words = all_words[weight <= RADIUS] if not excess else all_words[weight == RADIUS + excess]
+    weights = range(RADIUS + 1) if not excess else [RADIUS + excess]
+    words = np.array([sum(1 << b for b in bits) for w in weights for bits in combinations(range(23), w)], np.int64)
     syndromes = _remainders(words)
     order = np.argsort(syndromes, kind="stable")
-    return np.searchsorted(syndromes[order], np.arange((1 << 11) + 1)), words[order].astype(np.int64)
+    return np.searchsorted(syndromes[order], np.arange((1 << 11) + 1)), words[order]
 
 
 def _spread(starts: np.ndarray, patterns: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import table
+from textquarry.llm.common import slices, table
 
 WORD_BITS = 21
 DISCOUNT = 4.0
@@ -60,7 +60,7 @@ def _batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _counted(batches):
     """Pairs of a batch, (before, word, n0, n1), summed within it."""
-    for batch in batches:
+    for batch in slices(batches, most=8 << 20):
         words, before, sizes = _batch_words(batch.column("text"))
         toxic = np.repeat(batch.column("toxic").to_numpy().astype(np.int64), sizes)
         pairs, at = np.unique(before.astype(np.uint64) << np.uint64(32) | words, return_inverse=True)
@@ -151,7 +151,7 @@ def fitted(docs: DataFrame, labels: DataFrame, discount: float = DISCOUNT) -> tu
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def measured(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = _features(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), batch.column("toxic"), batch.column("order")], ["a", "b", "c", "toxic", "order"])
 
@@ -172,7 +172,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((ratios, curve))
 
     def judged(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ratios, curve = shared.value
             score = curve(_features(ratios, batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "__tq_score"])
