@@ -39,11 +39,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/textquarry-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "part") -> DataFrame:
+#: Rows of a written file, where their number is known before.
+ROWS_OF_A_FILE = 1_000_000
+
+
+def written(df: DataFrame, name: str = "part", rows: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and what
-    follows neither repeats it nor depends on the executors that made it."""
+    follows neither repeats it nor depends on the executors that made it.
+
+    ``rows``, at most so many, keeps small tables out of many files; it is
+    given where the last step is light, since that step then runs in as many tasks as there are files.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    out = df if rows is None else df.coalesce(-(-max(rows, 1) // ROWS_OF_A_FILE))
+    out.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -64,7 +73,7 @@ def ascii_lower(column):
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: int | None = None, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): the root is the smallest node reachable.
 
     Alternates the large-star and small-star steps until the edges no longer
@@ -73,7 +82,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     aggregates are used: a hub's edges need not meet in one task.
     """
     a, b = F.col("a"), F.col("b")
-    now = written(edges.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
+    now = written(edges.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges", nodes)
     before = None
     for _ in range(most_rounds):
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -85,5 +94,5 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.union(least).distinct(), "edges")
+        now = written(small.union(least).distinct(), "edges", mark[0])
     raise RuntimeError(f"no components after {most_rounds} rounds")

@@ -4,8 +4,7 @@ Every batch of documents becomes one sorted run of (hash, documents, largest
 document, fresh), where ``fresh`` is what a merge-anti-join with the runs
 already there says: no earlier batch holds the line. When a level has ``FANOUT``
 runs they are compacted into one run of the next level. A line's hash is 128
-bits wide; runs are Parquet folders sorted by hash, so a merge reads both sides
-in order and file statistics bound what a range of hashes touches.
+bits wide; a run is a folder of Parquet files, each sorted by hash.
 
 Two ways to use the store: ``LineRuns.dedup`` takes batch after batch, as a
 crawl delivers them, and drops what any earlier batch held; ``dedup_lines``
@@ -18,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import BLANKS, ascii_lower, shared_dir, table, written
+from textquarry.llm.common import BLANKS, ROWS_OF_A_FILE, ascii_lower, shared_dir, table, written
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 3
 HASH = ["h1", "h2"]
@@ -56,10 +55,11 @@ class LineRuns:
 
     SCHEMA = "h1 long, h2 long, n long, keep long, fresh boolean"
 
-    def _write(self, run: DataFrame, level: int) -> None:
+    def _write(self, run: DataFrame, level: int, rows: int) -> None:
+        """A run of at most ``rows``: it comes dealt by hash, and each of its files is sorted by hash."""
         self._made += 1
         path = f"{self.folder}/level{level}-run{self._made}"
-        run.select("h1", "h2", "n", "keep", "fresh").repartitionByRange(*HASH).sortWithinPartitions(*HASH).write.parquet(path)
+        run.select("h1", "h2", "n", "keep", "fresh").coalesce(-(-max(rows, 1) // ROWS_OF_A_FILE)).sortWithinPartitions(*HASH).write.parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
@@ -84,11 +84,11 @@ class LineRuns:
             own = new.unionByName(old)
         else:
             own = own.withColumn("fresh", F.lit(True))
-        self._write(own, 0)
+        self._write(own, 0, hashes.count())
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(self.merged(full), level + 1)
+            self._write(self.merged(full), level + 1, self.rows(full).count())
             level += 1
 
     def dedup(self, batch: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from textquarry.llm.common import slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Bytes of text that are encoded at once; an encoding takes some fifty times its text.
+ENCODED_AT_ONCE = 256 << 10
 MARK = "\N{LOWER ONE EIGHTH BLOCK}"
 #: Kinds of pieces in the file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -165,7 +167,7 @@ def encoded(docs: DataFrame, model: str = MODEL, threads: int = 2, parity_share:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         tokenizer, theirs, table, prefix = encoder(shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, most=ENCODED_AT_ONCE):
             texts = batch.column("text").to_pylist()
             ids, trip, parity = [None] * len(texts), [None] * len(texts), [None] * len(texts)
             some = [i for i, t in enumerate(texts) if t is not None]

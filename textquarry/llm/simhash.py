@@ -192,7 +192,7 @@ def links(fps: DataFrame, joined: bool, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints ``fps`` (fp); they join all that link."""
     spread = fps.mapInArrow(_replicated(joined), "key long, fp long, home boolean")
     sizes = spread.groupBy("key").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where((F.col("n") > block) & (F.col("homes") > 0))
-    crowded = written(sizes.select("key", F.ceil(F.col("homes") / block).cast("int").alias("hs"), F.ceil(F.col("n") / block).cast("int").alias("ps")), "crowded")
+    crowded = written(sizes.select("key", F.ceil(F.col("homes") / block).cast("int").alias("hs"), F.ceil(F.col("n") / block).cast("int").alias("ps")), "crowded", None if joined else 3 << 12)
     if crowded.count() <= MOST_BROADCAST:
         crowded = F.broadcast(crowded)
     spread = spread.join(crowded, "key", "left").withColumns({"hs": F.coalesce("hs", F.lit(1)), "ps": F.coalesce("ps", F.lit(1))})
@@ -217,9 +217,10 @@ def near_duplicates(docs: DataFrame, joined: bool | None = None, block: int = BL
     """
     each = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    total = distinct.count()
     if joined is None:
-        joined = distinct.count() > ONE_PIECE_UP_TO
-    roots = connected_components(links(distinct.select("fp"), joined, block)).withColumnRenamed("node", "fp")
+        joined = total > ONE_PIECE_UP_TO
+    roots = connected_components(links(distinct.select("fp"), joined, block), total).withColumnRenamed("node", "fp")
     named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = roots.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.join(linked, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
