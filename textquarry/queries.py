@@ -1,10 +1,420 @@
-"""The library's own queries, by name, with their SQL."""
+"""The library's own queries by name, each with the SQL that must give the same rows where SQL can.
+
+The given tables hold invented prose, so topics, boilerplate and templates are
+parameters here, with values that occur in it (``PROSE_*``); the defaults of the operators stay the fixed ones.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textquarry.functions import fixed, hashing, maths, text
+from textquarry.operators import audit, instruction, scoring, splits, subwords, verify, windows
+from textquarry.plans.prepare import prepare
 
+PROSE_TOPICS = (("english prose", ("that", "with")), ("german prose", ("nicht", "der")), ("french prose", ("pour", "dans", "le")), ("spanish prose", ("para", "como", "las")))
+PROSE_PATTERNS = (("article pair", "the and "), ("licence line", r"licensed under [^.]+\."), ("rights", r"all rights reserved\."), ("short sentence", r"[.] [a-z]+ [a-z]+\."))
+SAMPLE, PHRASES, CONTEXT = 200_000, 4096, 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.annotated(documents(spark, sf_dir), PROSE_TOPICS)
+
+
+# --- SQL pieces -------------------------------------------------------------------------------------------------------
+_FOLD = "replace(replace(lower({0}), 'ß', 'ss'), 'ς', 'σ')"
+_CANON = "trim(regexp_replace(" + _FOLD + r", '\s+', ' ', 'g'), ' ')"
+
+
+def _alias(alias: str) -> str:
+    return rf"(^|[^\p{{L}}\p{{N}}_/-]){alias}($|[^\p{{L}}\p{{N}}_/-])"
+
+
+def _topic_sql(column: str) -> str:
+    cases = " ".join(f"WHEN regexp_matches({_FOLD.format(column)}, '{_alias(a)}') THEN '{t}'" for a, t in text.by_length(PROSE_TOPICS))
+    return f"CASE {cases} ELSE '<unknown>' END"
+
+
+def _signature_sql(column: str) -> str:
+    """Slots that don't occur in the given tables are left out; topics and numbers are masked twice, as the edges are consumed."""
+    out = _CANON.format(column)
+    for a, _ in text.by_length(PROSE_TOPICS):
+        for _ in range(2):
+            out = rf"regexp_replace({out}, '{_alias(a)}', '\1<topic>\2', 'g')"
+    for _ in range(2):
+        out = rf"regexp_replace({out}, '(^|[^\p{{L}}\p{{N}}_])\p{{Nd}}+($|[^\p{{L}}\p{{N}}_])', '\1<num>\2', 'g')"
+    return out
+
+
+_LISTED = ", ".join(f"'{w}'" for w in fixed.STOPWORDS + fixed.GENERIC_WORDS)
+_INFORMATIVE = f"len(list_filter(list_distinct(list_transform(regexp_extract_all(text, '{fixed.INFORMATIVE_WORD.replace(chr(39), chr(39) * 2)}'), lambda w: lower(w))), lambda w: w NOT IN ({_LISTED})))"
+_MARKED = f"marked AS (SELECT doc_id, text, {_CANON.format('text')} AS canonical, 'family-' || left(sha256({_signature_sql('text')}), 16) AS family_id, {_topic_sql('text')} AS topic, {_INFORMATIVE} AS n_words FROM documents)"
+_KEPT = "kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family_id, topic ORDER BY n_words DESC, length(text) DESC, doc_id) AS r FROM marked) WHERE r = 1)"
+_BYTES = "octet_length(encode(text))"
+_UNIT = "(('0x' || left(sha256({0}), 16))::UBIGINT)::DOUBLE / 18446744073709551616::DOUBLE"
+
+
+def _split_sql(key: str) -> str:
+    return f"CASE WHEN {_UNIT.format(f'(1337 || chr(0) || {key})')} < 0.9::DOUBLE THEN 'train' WHEN {_UNIT.format(f'(1337 || chr(0) || {key})')} < 0.9::DOUBLE + 0.05::DOUBLE THEN 'validation' ELSE 'test' END"
+
+
+_SPLIT = f"split AS (SELECT doc_id, text, {_split_sql('text')} AS split FROM documents)"
+_SHINGLES = "shingled AS (SELECT *, string_split(canonical, ' ') AS w FROM classes), sets AS (SELECT *, list_distinct(CASE WHEN len(w) < 5 THEN [canonical] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM shingled)"
+_CLASSES = "classes AS (SELECT family_id, topic, canonical, min(doc_id) AS id, count(*) AS n FROM marked GROUP BY ALL)"
+_PAIRS = "pairs AS (SELECT * FROM (SELECT a.id AS left_id, b.id AS right_id, a.n AS n_left, b.n AS n_right, len(list_intersect(a.s, b.s)) AS c, len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS u FROM sets a JOIN sets b ON a.family_id = b.family_id AND a.topic = b.topic AND a.id < b.id) WHERE c >= 0.85::DOUBLE * u)"
+
+
+# --- audit ------------------------------------------------------------------------------------------------------------
+@query("canonical_text", f"SELECT doc_id, {_CANON.format('text')} AS canonical FROM documents")
+def canonical_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.canonical(F.col("text")).alias("canonical"))
+
+
+@query("exact_duplicate_groups", f"SELECT sha256({_CANON.format('text')}) AS canonical_sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicate_groups(spark, sf_dir):
+    return audit.duplicate_groups(documents(spark, sf_dir))
+
+
+@query("exact_duplicate_summary", f"SELECT count(*) AS exact_groups, coalesce(sum(n - 1), 0) AS beyond_first FROM (SELECT count(*) AS n FROM documents GROUP BY {_CANON.format('text')} HAVING count(*) > 1)")
+def exact_duplicate_summary(spark, sf_dir):
+    return audit.duplicate_summary(documents(spark, sf_dir))
+
+
+@query("template_family", f"WITH {_MARKED} SELECT doc_id, family_id FROM marked")
+def template_family(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", audit.masked(F.col("text"), PROSE_TOPICS).alias("family_id"))
+
+
+@query("family_counts", f"WITH {_MARKED} SELECT family_id, count(*) AS n, min(doc_id) AS first_id FROM marked GROUP BY 1")
+def family_counts(spark, sf_dir):
+    return audit.family_counts(marked(spark, sf_dir))
+
+
+@query("largest_families", f"WITH {_MARKED} SELECT family_id, count(*) AS n, min(doc_id) AS first_id FROM marked GROUP BY 1 ORDER BY n DESC, family_id LIMIT 25")
+def largest_families(spark, sf_dir):
+    return audit.largest_families(marked(spark, sf_dir))
+
+
+@query("topic_assignment", f"SELECT doc_id, {_topic_sql('text')} AS topic FROM documents")
+def topic_assignment(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.topic(F.col("text"), PROSE_TOPICS).alias("topic"))
+
+
+@query("topic_counts", f"SELECT {_topic_sql('text')} AS topic, count(*) AS n FROM documents GROUP BY 1 ORDER BY 1")
+def topic_counts(spark, sf_dir):
+    return audit.topic_counts(marked(spark, sf_dir))
+
+
+@query("clean_representatives", f"WITH {_MARKED}, {_KEPT} SELECT doc_id, family_id, topic FROM kept")
+def clean_representatives(spark, sf_dir):
+    return audit.cleaned(marked(spark, sf_dir)).select("doc_id", "family_id", "topic")
+
+
+@query("removal_summary", f"WITH {_MARKED}, {_KEPT}, groups AS (SELECT count(*) AS n FROM marked GROUP BY family_id, topic) SELECT (SELECT count(*) FROM marked) AS records_before, (SELECT sum({_BYTES}) FROM marked) AS bytes_before, (SELECT count(*) FROM kept) AS records_after, (SELECT sum({_BYTES}) FROM kept) AS bytes_after, (SELECT count(*) FROM groups WHERE n > 1) AS equivalent_groups, (SELECT sum(n - 1) FROM groups) AS equivalent_removed, (SELECT sum({_BYTES}) FROM marked) - (SELECT sum({_BYTES}) FROM kept) AS bytes_removed")
+def removal_summary(spark, sf_dir):
+    return audit.removal_summary(marked(spark, sf_dir))
+
+
+@query("informative_words", f"SELECT doc_id, {_INFORMATIVE} AS n_words, {_INFORMATIVE} < 12 AS low FROM documents")
+def informative_words(spark, sf_dir):
+    return audit.information(documents(spark, sf_dir))
+
+
+@query("low_information", f"SELECT doc_id, {_INFORMATIVE} AS n_words FROM documents WHERE {_INFORMATIVE} < 12 ORDER BY doc_id LIMIT 100")
+def low_information(spark, sf_dir):
+    return audit.low_information(documents(spark, sf_dir))
+
+
+@query("near_duplicate_pairs", f"WITH {_MARKED}, {_CLASSES}, {_SHINGLES}, {_PAIRS} SELECT left_id, right_id, n_left, n_right, c / u AS jaccard FROM pairs")
+def near_duplicate_pairs(spark, sf_dir):
+    return audit.near_pairs(audit.near_classes(marked(spark, sf_dir)))
+
+
+@query("near_duplicate_summary", f"WITH {_MARKED}, {_CLASSES}, {_SHINGLES}, {_PAIRS}, linked AS (SELECT left_id AS id FROM pairs UNION SELECT right_id FROM pairs UNION SELECT id FROM classes WHERE n > 1) SELECT (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM classes) + (SELECT coalesce(sum(n_left * n_right), 0) FROM pairs) AS pair_count, (SELECT coalesce(sum(n), 0) FROM classes WHERE id IN (SELECT id FROM linked)) AS record_count")
+def near_duplicate_summary(spark, sf_dir):
+    return audit.near_summary(marked(spark, sf_dir))
+
+
+_SENTENCES = rf"sentences AS (SELECT doc_id, unnest(s) AS raw, generate_subscripts(s, 1) AS place FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)), counted AS (SELECT sentence, count(*) AS n, min((doc_id, place)) AS first FROM (SELECT doc_id, place, {_CANON.format('raw')} AS sentence FROM sentences) WHERE sentence <> '' GROUP BY 1)"
+
+
+@query("sentence_frequency", f"WITH {_SENTENCES} SELECT sentence, n FROM counted WHERE n > 1")
+def sentence_frequency(spark, sf_dir):
+    return audit.sentence_counts(documents(spark, sf_dir)).where("n > 1").select("sentence", "n")
+
+
+@query("sentence_top30", f"WITH {_SENTENCES} SELECT sentence, n FROM (SELECT * FROM counted ORDER BY n DESC, first LIMIT 30) WHERE n >= 20")
+def sentence_top30(spark, sf_dir):
+    return audit.repeated_sentences(documents(spark, sf_dir))
+
+
+@query("boilerplate_counts", " UNION ALL ".join(f"SELECT '{label}' AS label, coalesce(sum(len(regexp_extract_all(text, '(?i){p}'))), 0)::BIGINT AS n FROM documents" for label, p in PROSE_PATTERNS))
+def boilerplate_counts(spark, sf_dir):
+    return audit.boilerplate_counts(documents(spark, sf_dir), PROSE_PATTERNS)
+
+
+_TRANSCRIPT = r"talks AS (SELECT conv_id AS doc_id, string_agg(upper(left(role, 1)) || substr(role, 2) || ': ' || regexp_replace(text, '\s+', ' ', 'g'), ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1)"
+_SPANS = rf"spans AS (SELECT doc_id, {_CANON.format('raw')} AS answer FROM (SELECT doc_id, unnest(list_transform(string_split(regexp_replace(text, '(?i)assistant:\s*', chr(1), 'g'), chr(1))[2:], lambda x: regexp_replace(x, '(?is)\s+(user|scenario):.*$', ''))) AS raw FROM talks))"
+
+
+@query("repeated_answers", f"WITH {_TRANSCRIPT}, {_SPANS} SELECT answer, count(*) AS n FROM spans WHERE answer <> '' GROUP BY 1 HAVING count(*) > 1")
+def repeated_answers(spark, sf_dir):
+    return audit.answer_counts(instruction.transcripts(table(spark, sf_dir, "conversations"))).where("n > 1")
+
+
+def _templated(spark, sf_dir):
+    """Records in the wording that the template slots are for, with the documents' own first words and numbers in them."""
+    word = F.regexp_extract("text", r"^\s*(\p{L}+)", 1)
+    number = (F.col("doc_id") % 7).cast("string")
+    return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("Training variation "), number, F.lit(": about "), word, F.lit(". Exercise "), number, F.lit(" from the angle of "), word, F.lit(".")).alias("text"))
+
+
+@query("variation_structures", "WITH t AS (SELECT 'about ' || lower(regexp_extract(text, '^\\s*(\\p{L}+)', 1)) || '. exercise <num> from the angle of <angle>.' AS structure FROM documents) SELECT replace(structure, 'ß', 'ss') AS structure, count(*) AS n FROM t GROUP BY 1")
+def variation_structures(spark, sf_dir):
+    return audit.variation_counts(_templated(spark, sf_dir), ())
+
+
+@query("template_slots", "SELECT doc_id, 'family-' || left(sha256('training variation <variation>. exercise <num> from the angle of <angle>.'), 16) AS family_id FROM documents")
+def template_slots(spark, sf_dir):
+    return _templated(spark, sf_dir).select("doc_id", audit.masked(F.col("text")).alias("family_id"))
+
+
+@query("audit_report")
+def audit_report(spark, sf_dir):
+    return audit.report(documents(spark, sf_dir), PROSE_TOPICS, PROSE_PATTERNS)
+
+
+# --- splits -----------------------------------------------------------------------------------------------------------
+def split_documents(spark, sf_dir):
+    return splits.with_split(documents(spark, sf_dir))
+
+
+@query("document_split", f"WITH {_SPLIT} SELECT doc_id, split FROM split")
+def document_split(spark, sf_dir):
+    return split_documents(spark, sf_dir).select("doc_id", "split")
+
+
+@query("split_summary", f"WITH {_SPLIT} SELECT split, count(*) AS documents, sum({_BYTES}) AS bytes FROM split GROUP BY 1")
+def split_summary(spark, sf_dir):
+    return splits.summary(split_documents(spark, sf_dir))
+
+
+@query("family_split", f"WITH {_MARKED} SELECT doc_id, {_split_sql('family_id')} AS split FROM marked")
+def family_split(spark, sf_dir):
+    return splits.with_split(marked(spark, sf_dir), "family_id").select("doc_id", "split")
+
+
+@query("split_overlap", f"WITH {_SPLIT}, h AS (SELECT DISTINCT split, sha256(text) AS s FROM split), k AS (SELECT * FROM (VALUES ('train', 'validation'), ('train', 'test'), ('validation', 'test')) AS v(left_split, right_split)) SELECT left_split, right_split, (SELECT count(*) FROM h a JOIN h b ON a.s = b.s WHERE a.split = left_split AND b.split = right_split) AS n FROM k")
+def split_overlap(spark, sf_dir):
+    return splits.overlap(split_documents(spark, sf_dir))
+
+
+@query("document_sha256", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def document_sha256(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", hashing.sha256(F.col("text")).alias("sha256"))
+
+
+@query("corpus_digest")
+def corpus_digest(spark, sf_dir):
+    return verify.sharded_digest(documents(spark, sf_dir))
+
+
+# --- tokenizer --------------------------------------------------------------------------------------------------------
+_SAMPLE = f"{_SPLIT}, placed AS (SELECT doc_id, text, coalesce(sum({_BYTES} + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM split WHERE split = 'train')"
+
+
+@query("tokenizer_sample", f"WITH {_SAMPLE} SELECT doc_id, left(hex(encode(text || chr(10))), 2 * ({SAMPLE} - start)::INT) AS part_hex FROM placed WHERE start < {SAMPLE}")
+def tokenizer_sample(spark, sf_dir):
+    return splits.tokenizer_sample(split_documents(spark, sf_dir), SAMPLE).select("doc_id", F.hex("part").alias("part_hex"))
+
+
+def ascii_sample(spark, sf_dir):
+    """The sample of documents without other characters than ASCII, for SQL that counts characters and not bytes."""
+    plain = documents(spark, sf_dir).where(F.octet_length("text") == F.char_length("text"))
+    return splits.tokenizer_sample(splits.with_split(plain), SAMPLE)
+
+
+_NGRAMS = f"WITH {_SPLIT}, placed AS (SELECT doc_id, text, coalesce(sum({_BYTES} + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM split WHERE split = 'train' AND {_BYTES} = length(text)), parts AS (SELECT left(text || chr(10), ({SAMPLE} - start)::INT) AS part FROM placed WHERE start < {SAMPLE}), regions AS (SELECT left(unnest(regexp_split_to_array(part, '[ \\t\\n\\v\\f\\r]+')), 256) AS r FROM parts), sizes AS (SELECT r, unnest(range(2, least(12, length(r)) + 1)) AS k FROM regions WHERE length(r) >= 2), grams AS (SELECT substr(r, i::INT, k::INT) AS phrase FROM (SELECT r, k, unnest(range(1, length(r) - k + 2)) AS i FROM sizes)), counted AS (SELECT phrase, count(*) AS n FROM grams GROUP BY 1)"
+
+
+@query("ngram_counts", f"{_NGRAMS} SELECT phrase, n FROM counted")
+def ngram_counts(spark, sf_dir):
+    return subwords.phrase_counts(ascii_sample(spark, sf_dir)).select(F.decode("phrase", "UTF-8").alias("phrase"), "n")
+
+
+@query("vocab_topk", f"{_NGRAMS} SELECT row_number() OVER (ORDER BY n * (length(phrase) - 1) DESC, n DESC, length(phrase) DESC, phrase DESC) + 257 AS token_id, phrase, n FROM counted WHERE n >= 2 ORDER BY 1 LIMIT {PHRASES - 258}")
+def vocab_topk(spark, sf_dir):
+    return subwords.vocabulary_rows(subwords.phrase_counts(ascii_sample(spark, sf_dir)), PHRASES).select("token_id", F.decode("token", "UTF-8").alias("phrase"), "n")
+
+
+def tokenized(spark, sf_dir):
+    return prepare(documents(spark, sf_dir), PHRASES, sample_bytes=SAMPLE)
+
+
+@query("token_counts")
+def token_counts(spark, sf_dir):
+    return windows.stream_lengths(tokenized(spark, sf_dir).tokens)
+
+
+@query("token_round_trip", "SELECT doc_id, sha256(text) AS decoded_sha256 FROM documents")
+def token_round_trip(spark, sf_dir):
+    done = tokenized(spark, sf_dir)
+    return subwords.decoded(done.tokens, done.vocabulary).select("doc_id", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("eos_check", "SELECT doc_id, 1 AS ends FROM documents")
+def eos_check(spark, sf_dir):
+    last = F.when(F.element_at("tokens", -1) == fixed.EOS_ID, F.size(F.filter("tokens", lambda t: t == fixed.EOS_ID)))
+    return tokenized(spark, sf_dir).tokens.select("doc_id", last.alias("ends"))
+
+
+@query("verify_dataset", "SELECT 'x' AS check, 'x' AS detail WHERE false")
+def verify_dataset(spark, sf_dir):
+    done = tokenized(spark, sf_dir)
+    return verify.failures(done.split, done.tokens, done.vocabulary, done.manifest)
+
+
+# --- windows ----------------------------------------------------------------------------------------------------------
+@query("fixed_offsets", "SELECT i AS number, round_even(i * (256235 - 1024 - 1) / 255.0::DOUBLE, 0)::BIGINT AS offset FROM range(256) t(i)")
+def fixed_offsets(spark, sf_dir):
+    return windows.fixed_offsets(spark, 256_235, 1024).select("number", "offset")
+
+
+def byte_stream(spark, sf_dir):
+    """The validation documents as bytes with an end token, a stream that SQL can make too."""
+    split = splits.with_split(documents(spark, sf_dir)).where("split = 'validation' and octet_length(text) = char_length(text)")
+    chars = F.transform(F.split("text", ""), lambda c: F.ascii(c))
+    return windows.streamed(split.select("doc_id", "split", F.concat(chars, F.array(F.lit(fixed.EOS_ID))).alias("tokens")))
+
+
+_STREAM = f"WITH {_SPLIT}, chars AS (SELECT doc_id, 0 AS e, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM split WHERE split = 'validation' AND {_BYTES} = length(text)), ids AS (SELECT doc_id, i, ord(c) AS t FROM chars UNION ALL SELECT doc_id, length(text) + 1, 256 FROM split WHERE split = 'validation' AND {_BYTES} = length(text)), stream AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS p, t FROM ids), n AS (SELECT count(*) AS n FROM stream), m AS (SELECT least(16, n - {CONTEXT}) AS k, n - {CONTEXT} - 1 AS last FROM n), offsets AS (SELECT i AS number, round_even(i * last / greatest(k - 1, 1)::DOUBLE, 0)::BIGINT AS o FROM m, range(16) t(i) WHERE i < k)"
+
+
+@query("token_windows", f"{_STREAM} SELECT number, o AS offset, (SELECT list(t ORDER BY p) FROM stream WHERE p >= o AND p < o + {CONTEXT}) AS x, (SELECT list(t ORDER BY p) FROM stream WHERE p > o AND p <= o + {CONTEXT}) AS y FROM offsets")
+def token_windows(spark, sf_dir):
+    streams = byte_stream(spark, sf_dir)
+    n = windows.stream_lengths(streams).first().tokens
+    return windows.windows(streams, windows.fixed_offsets(spark, n, CONTEXT, 16), CONTEXT)
+
+
+@query("end_positions", f"{_STREAM} SELECT 'validation' AS split, p AS position FROM stream WHERE t = 256")
+def end_positions(spark, sf_dir):
+    return windows.end_positions(byte_stream(spark, sf_dir))
+
+
+@query("chat_history", "SELECT conv_id, turn, h AS history FROM (SELECT conv_id, turn, role, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 16 PRECEDING AND CURRENT ROW) AS h FROM conversations) WHERE role = 'user'")
+def chat_history(spark, sf_dir):
+    return windows.chat_history(table(spark, sf_dir, "conversations"))
+
+
+@query("mean_loss", "SELECT sum(n) AS tokens, sum(nll * n) / sum(n) AS cross_entropy, exp(sum(nll * n) / sum(n)) AS perplexity FROM (SELECT (doc_id % 9) / 3.0::DOUBLE AS nll, n_chars AS n FROM documents)")
+def mean_loss(spark, sf_dir):
+    return windows.mean_loss(table(spark, sf_dir, "documents").select((F.col("doc_id") % 9 / 3.0).alias("nll"), F.col("n_chars").alias("n")))
+
+
+# --- instruction ------------------------------------------------------------------------------------------------------
+_EXAMPLES = "pairs AS (SELECT conv_id, turn, role, text AS question, lead(text) OVER w AS answer, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), examples AS (SELECT conv_id, turn, 'conversation' AS category, question, answer FROM pairs WHERE role = 'user' AND next = 'assistant')"
+
+
+def examples(spark, sf_dir):
+    return instruction.from_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("instruction_split", f"WITH {_EXAMPLES} SELECT conv_id, turn, CASE WHEN {_UNIT.format('(1337 || chr(0) || category || chr(0) || question || chr(0) || answer)')} < 0.2::DOUBLE THEN 'validation' ELSE 'train' END AS split FROM examples")
+def instruction_split(spark, sf_dir):
+    return instruction.with_split(examples(spark, sf_dir)).select("conv_id", "turn", "split")
+
+
+@query("conversation_template", f"WITH {_EXAMPLES} SELECT conv_id, turn, '<|user|>' || chr(10) || question || chr(10) || '<|assistant|>' || chr(10) || answer || chr(10) || '<|end|>' AS conversation, 'Question: ' || question || chr(10) || 'Answer:' AS prompt FROM examples")
+def conversation_template(spark, sf_dir):
+    return instruction.with_templates(examples(spark, sf_dir)).select("conv_id", "turn", "conversation", "prompt")
+
+
+def byte_vocabulary():
+    return subwords.Vocabulary([bytes([b]) for b in range(256)] + [b"", b""]).with_special((fixed.USER, fixed.ASSISTANT, fixed.END))
+
+
+def plain_examples(spark, sf_dir):
+    plain = examples(spark, sf_dir).where("octet_length(question) = char_length(question) and octet_length(answer) = char_length(answer)")
+    ids = instruction.encoded_examples(plain, byte_vocabulary())
+    return ids.withColumn("place", F.col("conv_id") * 1000 + F.col("turn"))
+
+
+_IDS = f"{_EXAMPLES}, plain AS (SELECT *, conv_id * 1000 + turn AS place, list_transform(string_split(question, ''), lambda c: ord(c)) AS q, list_transform(string_split(answer, ''), lambda c: ord(c)) AS a FROM examples WHERE octet_length(encode(question)) = length(question) AND octet_length(encode(answer)) = length(answer)), masked AS (SELECT *, [258] || q || [259] || a AS input_ids, list_transform(range(len(q) + 1), lambda x: -100) || a || [260] AS labels FROM plain)"
+
+
+@query("label_mask", f"WITH {_IDS} SELECT conv_id, turn, input_ids, labels FROM masked")
+def label_mask(spark, sf_dir):
+    return plain_examples(spark, sf_dir).select("conv_id", "turn", "input_ids", "labels")
+
+
+@query("supervised_labels", f"WITH {_IDS} SELECT count(*) AS examples, sum(len(a) + 1)::BIGINT AS supervised FROM masked")
+def supervised_labels(spark, sf_dir):
+    return instruction.supervised(plain_examples(spark, sf_dir))
+
+
+@query("padded_batches", f"WITH {_IDS}, numbered AS (SELECT *, row_number() OVER (ORDER BY place) - 1 AS number FROM masked), batched AS (SELECT *, number // 8 AS batch, max(len(input_ids)) OVER (PARTITION BY number // 8) AS n FROM numbered) SELECT number, batch, input_ids || list_transform(range(n - len(input_ids)), lambda x: 257) AS input_ids, labels || list_transform(range(n - len(labels)), lambda x: -100) AS labels FROM batched")
+def padded_batches(spark, sf_dir):
+    return instruction.padded(instruction.numbered(plain_examples(spark, sf_dir), "place"), 8).select("number", "batch", "input_ids", "labels")
+
+
+# --- scoring and schedules ----------------------------------------------------------------------------------------------
+def _answers(spark, sf_dir):
+    """Documents as answers to one item, made of words that occur in them."""
+    facts = F.array(*(F.struct(F.lit(f).alias("fact"), F.array(*map(F.lit, a)).alias("aliases")) for f, a in (("one", ["the and", "of the"]), ("two", ["idiot", "le la"]))))
+    lists = {"topic_terms": ["That", "with"], "question_requirements": ["for", "pour"], "forbidden_claims": ["worthless"]}
+    return documents(spark, sf_dir).select("doc_id", F.col("text").alias("answer"), facts.alias("expected_key_facts"), *(F.array(*map(F.lit, v)).alias(k) for k, v in lists.items()))
+
+
+_NORM = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'), ' ')"
+_ANCHORED = " OR ".join(f"contains({_NORM.format('s')}, '{a}')" for a in ("that", "with", "the and", "of the", "idiot", "le la", *fixed.ANCHORS))
+_SCORES = rf"base AS (SELECT doc_id, {_NORM.format('text')} AS t, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS parts FROM documents), hits AS (SELECT *, (contains(t, 'the and') OR contains(t, 'of the'))::INT + (contains(t, 'idiot') OR contains(t, 'le la'))::INT AS facts, contains(t, 'that')::INT + contains(t, 'with')::INT AS terms, contains(t, 'for')::INT + contains(t, 'pour')::INT AS needs, contains(t, 'worthless')::INT AS claims, len(list_filter(parts, lambda s: len(regexp_split_to_array(s, '\s+')) >= 6 AND NOT ({_ANCHORED}))) AS loose FROM base), scores AS (SELECT doc_id, terms / 2 AS relevance, greatest(0.0, facts / 2 - claims / 2)::DOUBLE AS factual_correctness, facts / 2 AS completeness, loose / greatest(len(parts), 1) AS hallucination, needs / 2 AS question_following FROM hits)"
+
+
+@query("behavioral_scores", f"WITH {_SCORES} SELECT * FROM scores")
+def behavioral_scores(spark, sf_dir):
+    return scoring.scored(_answers(spark, sf_dir)).select("doc_id", *fixed.DIMENSIONS)
+
+
+@query("dimension_summary", f"WITH {_SCORES} " + " UNION ALL ".join(f"SELECT '{d}' AS dimension, round(avg({d}), 9) AS mean, count(*) AS count FROM scores" for d in fixed.DIMENSIONS))
+def dimension_summary(spark, sf_dir):
+    return scoring.summary(scoring.scored(_answers(spark, sf_dir))).withColumn("mean", F.round("mean", 9))
+
+
+@query("training_schedule", "SELECT 4276031 AS training_tokens, 245352 AS validation_tokens, 256235 AS test_tokens, 32768 AS tokens_per_update, 131 AS updates_per_epoch, 655 AS training_steps, 66 AS warmup_steps, 21463040 AS tokens_processed, 21463040 / 4276031 AS effective_epochs, false AS excessive")
+def training_schedule(spark, sf_dir):
+    return maths.budget(spark, 4_276_031, epochs=5, validation_tokens=245_352, test_tokens=256_235)
+
+
+@query("learning_rate_curve", "SELECT i AS step, round(CASE WHEN i <= 66 THEN 3e-4 * i / 66 ELSE 3e-5 + (3e-4 - 3e-5) * 0.5 * (1 + cos(pi() * least(greatest((i - 66) / 589, 0), 1))) END, 12) AS rate FROM range(656) t(i)")
+def learning_rate_curve(spark, sf_dir):
+    return maths.learning_rates(spark, 655, 66, 3e-4, 3e-5).withColumn("rate", F.round("rate", 12))
+
+
+@query("perplexity", "SELECT doc_id, CASE WHEN n_chars % 1400 < 700 THEN exp((n_chars % 1400)::DOUBLE / 100) ELSE 'Infinity'::DOUBLE END AS perplexity FROM documents")
+def perplexity(spark, sf_dir):
+    loss = F.col("n_chars") % 1400
+    return table(spark, sf_dir, "documents").select("doc_id", maths.perplexity(F.when(loss < 700, loss / 100.0).otherwise(loss.cast("double"))).alias("perplexity"))
