@@ -130,9 +130,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     ends = docs.select(F.min(F.col("doc_id").cast("long")).alias("a"), F.max(F.col("doc_id").cast("long")).alias("b")).first()
     low, width = (ends.a or 0), max(1, ((ends.b or 0) - (ends.a or 0)) // batches + 1)
     batch = F.floor((F.col("doc_id").cast("decimal(38,0)") - F.lit(low)) / F.lit(width)).cast("int")
-    path = f"{shared_dir(spark)}/lines"
-    hashes.withColumn("batch", batch).write.partitionBy("batch").parquet(path)
-    hashes = spark.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(path)
+    hashes = written(hashes.withColumn("batch", batch), "lines")
     runs = LineRuns(spark, fanout=fanout)
     for k in reversed(range(batches)):
         runs.add(hashes.where(F.col("batch") == k).drop("batch"))
