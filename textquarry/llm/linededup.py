@@ -134,7 +134,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     runs = LineRuns(spark, fanout=fanout)
     for k in reversed(range(batches)):
         runs.add(hashes.where(F.col("batch") == k).drop("batch"))
-    frequent = runs.merged().where(F.col("n") >= min_docs).select(*HASH, "keep")
+    # As a table of its own, so that the join sees two plain shuffles and can split a line that very many documents hold.
+    frequent = written(runs.merged().where(F.col("n") >= min_docs).select(*HASH, "keep"), "frequent", runs.rows().count())
     return without(docs, hashes.drop("batch").join(frequent, HASH).where("doc_id < keep"), min_chars)
 
 
