@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from tests.llm.oracle import same
 from textquarry.llm import secrets
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -64,3 +65,7 @@ def test_real_rows_equal_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted((str(r[0]), *r[1:]) for r in secrets.op9(spark, sf).collect()) == want(rows)
+
+
+def test_equals_sql(spark):
+    same(spark, secrets.op9, secrets.ORACLES["op9_secret_scan"], "/root/testdata/sf0.001")
