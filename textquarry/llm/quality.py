@@ -23,6 +23,8 @@ from textquarry.llm.common import slices, table, written
 
 SAMPLE = 20_000
 FOLDS, HELD_OUT = 5, 0
+#: Sites up to which their rates are broadcast.
+MOST_BROADCAST = 200_000
 #: Bounds of a prior's strength, in labels.
 STRENGTH = (1.0, 1000.0)
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
@@ -125,6 +127,9 @@ def classified(docs: DataFrame, labels: DataFrame, host: Column | None = None, p
     paths = learned.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("y").alias("good")).join(hosts, "host").withColumnRenamed("host_rate", "prior")
     k = strength(paths)
     paths = paths.select("host", "path", ((F.col("good") + k * F.col("prior")) / (F.col("n") + k)).alias("path_rate"))
+    hosts, paths = written(hosts, "hosts"), written(paths, "paths")
+    # A few sites hold most documents: their rows need not move where the sites are few.
+    hosts, paths = (F.broadcast(x) if x.count() <= MOST_BROADCAST else x for x in (hosts, paths))
     out = each.join(hosts, "host", "left").join(paths, ["host", "path"], "left")
     out = out.withColumn("host_rate", F.coalesce("host_rate", F.lit(overall)))
     out = out.withColumn("path_rate", F.coalesce("path_rate", "host_rate")).withColumn("evidence", log_odds(model))
