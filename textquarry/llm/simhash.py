@@ -233,7 +233,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     Of rows that repeat a doc_id and of a group without any doc_id, one row
     stays (the smallest text). Columns stay as they are.
     """
-    kept = written(near_duplicates(docs), "components")
+    kept = written(near_duplicates(docs), "components", docs.count())
     chosen = kept.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__tq_id")).agg(F.count("*").alias("__tq_n"))
     nameless = kept.where("component_id is null").select("fingerprint").distinct()
     once = docs.join(chosen.hint("shuffle_hash"), docs["doc_id"].cast("long") == chosen["__tq_id"], "left_semi")
