@@ -14,7 +14,8 @@ from textquarry.functions import fixed, maths
 from textquarry.functions.running import running
 from textquarry.operators import audit, instruction, scoring, splits, subwords, verify, windows
 from textquarry.operators.subwords import Vocabulary
-from textquarry.plans import clean, prepare
+from textquarry.__main__ import main
+from textquarry.plans import clean, config, prepare
 from textquarry.sources import files, sinks
 from textquarry.streaming import split as streaming
 
@@ -290,3 +291,29 @@ def test_streams(spark, tmp_path, records):
     once = streaming.first_seen(stream, "ts").writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "once")).start()
     once.awaitTermination(120)
     assert spark.table("once").count() == len({canonical(t) for t in corpus()})
+
+
+def test_settings(spark):
+    voc = Vocabulary(BYTES)
+    manifest = {"tokenizer": {"vocab_size": 258, "sha256": voc.sha256()}, "preprocessing": {"dtype": "uint16"}, "splits": {s: {"token_count": n} for s, n in zip(fixed.SPLITS, (4_276_031, 245_352, 256_235))}}
+    run, plan = config.resolved(spark, manifest, voc)
+    assert (run.epochs, run.vocab_size, plan["training_steps"]) == (5.0, 258, 655)
+    run, plan = config.resolved(spark, manifest, voc, steps=10, batch_size=2)
+    assert (run.epochs, plan["training_steps"], plan["tokens_per_update"]) == (None, 10, 8192)
+    for bad in ({"epochs": 1, "steps": 1}, {"epochs": 0}, {"steps": -1}, {"colour": 1}):
+        with pytest.raises(ValueError):
+            config.resolved(spark, manifest, voc, **bad)
+    with pytest.raises(ValueError, match="mismatch"):
+        config.resolved(spark, manifest, voc.with_special(["x"]))
+    assert config.RunConfig.from_dict({"seed": 3, "colour": 1}).seed == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    source, out = tmp_path / "s.txt", str(tmp_path / "o")
+    source.write_text("\n\n".join(f"Doc {i}" for i in range(80)))
+    assert main(["prepare", "--source", str(source), "--out", out, "--vocab-size", "300", "--ratios", "0.6", "0.2", "0.2"], spark) == 0
+    assert main(["verify", "--source", str(source), "--out", out], spark) == 0
+    assert main(["windows", "--out", out, "--split", "test", "--context", "4"], spark) == 0
+    source.write_text(source.read_text() + "\n\nmore")
+    assert main(["verify", "--source", str(source), "--out", out], spark) == 1
+    assert "document counts" in capsys.readouterr().err

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions import fixed, hashing, maths, text
-from textquarry.operators import audit, instruction, scoring, splits, subwords, verify, windows
+from textquarry.operators import audit, decoding, instruction, scoring, splits, subwords, verify, windows
 from textquarry.plans.prepare import prepare
 
 PROSE_TOPICS = (("english prose", ("that", "with")), ("german prose", ("nicht", "der")), ("french prose", ("pour", "dans", "le")), ("spanish prose", ("para", "como", "las")))
@@ -418,3 +418,34 @@ def learning_rate_curve(spark, sf_dir):
 def perplexity(spark, sf_dir):
     loss = F.col("n_chars") % 1400
     return table(spark, sf_dir, "documents").select("doc_id", maths.perplexity(F.when(loss < 700, loss / 100.0).otherwise(loss.cast("double"))).alias("perplexity"))
+
+
+# --- choices among tokens -----------------------------------------------------------------------------------------------
+def _scores(spark, sf_dir):
+    """Documents of a language and source as tokens of a step, scored by length."""
+    step = F.concat("lang", F.lit("/"), "source")
+    return table(spark, sf_dir, "documents").select(step.alias("step"), F.col("doc_id").alias("token_id"), (F.col("n_chars") / 1000.0 - 1).alias("score"))
+
+
+_SCORED = "scores AS (SELECT lang || '/' || source AS step, doc_id AS token_id, n_chars / 1000.0::DOUBLE - 1 AS score FROM documents)"
+
+
+@query("greedy_token", f"WITH {_SCORED} SELECT step, token_id FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY score DESC, token_id) AS r FROM scores) WHERE r = 1")
+def greedy_token(spark, sf_dir):
+    return decoding.greedy(_scores(spark, sf_dir))
+
+
+@query("top_k_tokens", f"WITH {_SCORED} SELECT step, token_id, score FROM (SELECT *, rank() OVER (PARTITION BY step ORDER BY score DESC) AS r FROM scores) WHERE r <= 3")
+def top_k_tokens(spark, sf_dir):
+    return decoding.top_k(_scores(spark, sf_dir), 3)
+
+
+@query("nucleus_tokens", f"WITH {_SCORED}, e AS (SELECT *, exp((score - max(score) OVER (PARTITION BY step)) / 0.8::DOUBLE) AS e FROM scores), p AS (SELECT step, token_id, score, e / sum(e) OVER (PARTITION BY step) AS p FROM e), c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY step ORDER BY p DESC, token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p) SELECT step, token_id, score, p / sum(p) OVER (PARTITION BY step) AS p FROM c WHERE b <= 0.92::DOUBLE")
+def nucleus_tokens(spark, sf_dir):
+    return decoding.nucleus(decoding.probabilities(_scores(spark, sf_dir), 0.8), 0.92)
+
+
+@query("penalized_scores", f"WITH {_SCORED} SELECT step, token_id, CASE WHEN token_id % 3 <> 0 THEN score WHEN score < 0 THEN score * 1.08::DOUBLE ELSE score / 1.08::DOUBLE END AS score FROM scores")
+def penalized_scores(spark, sf_dir):
+    scores = _scores(spark, sf_dir)
+    return decoding.penalized(scores, scores.where("token_id % 3 = 0"), 1.08)
