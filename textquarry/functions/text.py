@@ -7,7 +7,7 @@ made Unicode-aware where Python's are, and `.` stops at a line feed only.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,11 +93,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, " ", -1), lambda w: w != "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once for a row: inside of a lambda it would be computed again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shingles(text: Column, size: int = fixed.SHINGLE_WORDS) -> Column:
     """The different runs of ``size`` words of the canonical text; a shorter text is one shingle."""
-    w = words(canonical(text))
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
-    return F.array_distinct(F.when(F.size(w) < size, F.array(F.array_join(w, " "))).otherwise(runs))
+
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
+        return F.array_distinct(F.when(F.size(w) < size, F.array(F.array_join(w, " "))).otherwise(each))
+
+    return let(words(canonical(text)), runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ group is chosen by an aggregate too, so that a group of any size never meets in
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +22,18 @@ def annotated(records: DataFrame, topics=fixed.TOPIC_ALIASES) -> DataFrame:
     return signed.withColumn("topic", text.topic(F.col("text"), topics))
 
 
-def preamble_end(records: DataFrame) -> DataFrame:
-    """One row (first): the doc_id of the first record that is not of the preamble, null if all are."""
-    return records.agg(F.min(F.when(~text.begins_preamble(F.col("text")), F.col("doc_id"))).alias("first"))
+def keyed(marked: DataFrame) -> DataFrame:
+    """What choosing and counting need of ``marked``, without the texts: kept (in memory or on disk) once it is computed,
+    since masking templates is the dear part and several aggregates follow from it."""
+    t = F.col("text")
+    own = marked.select("doc_id", *BLOCK, F.size(text.informative_words(t)).alias("n_words"), F.char_length(t).alias("n_chars"), F.octet_length(t).alias("n_bytes"), text.begins_preamble(t).alias("begins"))
+    return own.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def with_preamble(records: DataFrame) -> DataFrame:
-    """``records`` with preamble: whether it belongs to the leading run of preamble records."""
-    return records.crossJoin(F.broadcast(preamble_end(records))).withColumn("preamble", F.coalesce(F.col("doc_id") < F.col("first"), F.lit(True))).drop("first")
+def with_preamble(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, begins, ...) with preamble: whether it belongs to the leading run of rows that begin as a preamble does."""
+    first = rows.agg(F.min(F.when(~F.coalesce(F.col("begins"), F.lit(False)), F.col("doc_id"))).alias("first"))
+    return rows.crossJoin(F.broadcast(first)).withColumn("preamble", F.coalesce(F.col("doc_id") < F.col("first"), F.lit(True))).drop("first")
 
 
 def duplicate_groups(records: DataFrame) -> DataFrame:
@@ -53,31 +58,37 @@ def topic_counts(marked: DataFrame) -> DataFrame:
     return marked.groupBy("topic").agg(F.count("*").alias("n")).orderBy("topic")
 
 
-def representatives(marked: DataFrame) -> DataFrame:
-    """Of each family and topic the record with the most informative words, then the longest, then the first: (family_id, topic, doc_id, n)."""
-    best = F.max(F.struct(F.size(text.informative_words(F.col("text"))).alias("words"), F.char_length("text").alias("chars"), (-F.col("doc_id")).alias("before")))
-    return marked.groupBy(*BLOCK).agg(best.alias("best"), F.count("*").alias("n")).select(*BLOCK, (-F.col("best.before")).alias("doc_id"), "n")
+def representatives(rows: DataFrame) -> DataFrame:
+    """Of each family and topic of ``rows`` (from ``keyed``) the record with the most informative words, then the longest, then the first:
+    (family_id, topic, doc_id, n, n_bytes)."""
+    best = F.max(F.struct("n_words", "n_chars", (-F.col("doc_id")).alias("before"), "n_bytes"))
+    return rows.groupBy(*BLOCK).agg(best.alias("best"), F.count("*").alias("n")).select(*BLOCK, (-F.col("best.before")).alias("doc_id"), "n", F.col("best.n_bytes").alias("n_bytes"))
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, family_id, n) of what cleaning keeps of ``rows`` (from ``keyed``): the preamble (with n = 1) and the representatives."""
+    parted = with_preamble(rows)
+    return parted.where("preamble").select("doc_id", "n_bytes", "family_id", F.lit(1).cast("long").alias("n")).unionByName(representatives(parted.where("not preamble")).select("doc_id", "n_bytes", "family_id", "n"))
 
 
 def cleaned(marked: DataFrame) -> DataFrame:
     """The preamble and one representative of each family and topic, unchanged; ``marked`` comes from ``annotated``."""
-    records = with_preamble(marked)
-    kept = representatives(records.where(~F.col("preamble"))).select("doc_id")
-    return records.where("preamble").drop("preamble").unionByName(records.where(~F.col("preamble")).drop("preamble").join(kept, "doc_id", "left_semi"))
+    return marked.join(kept(keyed(marked)).select("doc_id"), "doc_id", "left_semi").select(*marked.columns)
 
 
-def removal_summary(marked: DataFrame) -> DataFrame:
+def removal_summary(marked: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """One row: records and bytes before, after and removed, and the groups with more than one member."""
-    groups = representatives(with_preamble(marked).where(~F.col("preamble"))).agg(F.count_if(F.col("n") > 1).alias("equivalent_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("equivalent_removed"))
-    size = lambda df, name: df.agg(F.count("*").alias(f"records_{name}"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias(f"bytes_{name}"))
-    out = size(marked, "before").crossJoin(size(cleaned(marked), "after")).crossJoin(groups)
+    rows = keyed(marked) if rows is None else rows
+    size = lambda df, name, *more: df.agg(F.count("*").alias(f"records_{name}"), F.coalesce(F.sum("n_bytes"), F.lit(0)).cast("long").alias(f"bytes_{name}"), *more)
+    groups = [F.count_if(F.col("n") > 1).alias("equivalent_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("equivalent_removed")]
+    out = size(rows, "before").crossJoin(size(kept(rows), "after", *groups))
     return out.withColumn("bytes_removed", F.col("bytes_before") - F.col("bytes_after"))
 
 
 def information(records: DataFrame) -> DataFrame:
     """(doc_id, n_words, low) of records outside of the preamble."""
-    rest = with_preamble(records).where(~F.col("preamble"))
-    return rest.select("doc_id", F.size(text.informative_words(F.col("text"))).alias("n_words")).withColumn("low", F.col("n_words") < fixed.LOW_INFORMATION)
+    rows = records.select("doc_id", F.size(text.informative_words(F.col("text"))).alias("n_words"), text.begins_preamble(F.col("text")).alias("begins"))
+    return with_preamble(rows).where("not preamble").select("doc_id", "n_words", (F.col("n_words") < fixed.LOW_INFORMATION).alias("low"))
 
 
 def low_information(records: DataFrame, most: int = 100) -> DataFrame:
@@ -86,19 +97,22 @@ def low_information(records: DataFrame, most: int = 100) -> DataFrame:
 
 
 def near_classes(marked: DataFrame) -> DataFrame:
-    """Records of a family and topic with the same canonical text, as one: (class_id, n, family_id, topic, hashes)."""
+    """Records of a family and topic with the same canonical text, as one: (class_id, n, family_id, topic, canonical); kept once computed."""
     once = marked.groupBy(*BLOCK, "canonical").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
-    hashes = F.transform(text.shingles(F.col("canonical")), lambda s: F.xxhash64(s))
-    return once.select("class_id", "n", *BLOCK, F.array_distinct(hashes).alias("hashes"))
+    return once.select("class_id", "n", *BLOCK, "canonical").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def near_pairs(classes: DataFrame, threshold: float = fixed.NEAR_DUPLICATE) -> DataFrame:
     """(left_id, right_id, n_left, n_right, jaccard): pairs of classes within a family and topic that reach ``threshold``.
 
-    A set-similarity join. Hashes are ordered from rare to frequent; two sets that
-    are alike share one among their first (size - ceil(threshold * size) + 1), and only
-    these meet, where the sizes allow it. Candidates are then compared exactly.
+    A set-similarity join; classes alone in their family and topic stay out. Hashes of shingles are ordered
+    from rare to frequent; two sets that are alike share one among their first (size - ceil(threshold * size) + 1),
+    and only these meet, where the sizes allow it. Candidates are then compared exactly.
     """
+    several = classes.groupBy(*BLOCK).agg(F.count("*").alias("c")).where("c > 1")
+    classes = classes.join(several, BLOCK, "left_semi")
+    hashes = F.array_distinct(F.transform(text.shingles(F.col("canonical")), lambda s: F.xxhash64(s)))
+    classes = classes.select("class_id", "n", *BLOCK, hashes.alias("hashes")).persist(StorageLevel.MEMORY_AND_DISK)
     each = classes.select("class_id", F.explode("hashes").alias("hash"))
     counted = each.join(each.groupBy("hash").agg(F.count("*").alias("f")), "hash")
     ranked = counted.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("f", "hash"))).alias("r"))
@@ -166,12 +180,12 @@ def repetition(counts: DataFrame) -> DataFrame:
 def report(records: DataFrame, topics=fixed.TOPIC_ALIASES, patterns=fixed.BOILERPLATE) -> DataFrame:
     """The audit as one row; every part is an aggregate of one row, so joining them moves nothing."""
     marked = annotated(records, topics)
-    kept = cleaned(marked)
+    rows = keyed(marked)
     name = lambda df, **to: df.select(*(F.col(c).alias(t) for c, t in to.items()))
-    families = marked.agg(F.count_distinct("family_id").alias("families_before")).crossJoin(kept.agg(F.count_distinct("family_id").alias("families_after")))
+    families = rows.agg(F.count_distinct("family_id").alias("families_before")).crossJoin(kept(rows).agg(F.count_distinct("family_id").alias("families_after")))
     counts = boilerplate_counts(records, patterns).agg(F.sum("n").alias("boilerplate_matches"))
-    low = information(records).agg(F.count_if("low").alias("low_information"))
-    out = removal_summary(marked).crossJoin(duplicate_summary(records)).crossJoin(families)
+    low = with_preamble(rows).where("not preamble").agg(F.count_if(F.col("n_words") < fixed.LOW_INFORMATION).alias("low_information"))
+    out = removal_summary(marked, rows).crossJoin(duplicate_summary(records)).crossJoin(families)
     out = out.crossJoin(name(near_summary(marked), pair_count="near_pairs", record_count="near_records"))
     out = out.crossJoin(name(repetition(answer_counts(records)), groups="repeated_answers", occurrences="repeated_answer_occurrences"))
     out = out.crossJoin(name(repetition(variation_counts(records, topics)), groups="repeated_variations", occurrences="repeated_variation_occurrences"))

@@ -23,7 +23,7 @@ def _list(name: str) -> Column:
 
 
 def _held(terms: Column, answer: Column) -> Column:
-    return F.filter(terms, lambda t: F.contains(answer, text.lowered(t)))
+    return text.let(answer, lambda a: F.filter(terms, lambda t: F.contains(a, text.lowered(t))))
 
 
 def scored(answers: DataFrame) -> DataFrame:
@@ -31,12 +31,12 @@ def scored(answers: DataFrame) -> DataFrame:
     answer = text.lowered(F.col("answer"))
     facts = F.col("expected_key_facts")
     n_facts = F.size(facts)
-    matched = F.filter(facts, lambda f: F.exists(f["aliases"], lambda a: F.contains(answer, text.lowered(a))))
+    matched = text.let(answer, lambda x: F.filter(facts, lambda f: F.exists(f["aliases"], lambda a: F.contains(x, text.lowered(a)))))
     terms, needs, claims = _list("topic_terms"), _list("question_requirements"), _list("forbidden_claims")
     anchors = F.concat(terms, F.flatten(F.transform(facts, lambda f: f["aliases"])), F.array(*map(F.lit, fixed.ANCHORS)))
     found = answers.withColumn("__anchors", F.transform(anchors, text.lowered))
     parts = F.filter(F.transform(F.split("answer", "[.!?]+", -1), text.stripped), lambda s: s != "")
-    loose = F.filter(parts, lambda s: (F.size(F.split(text.squeezed(s), " ", -1)) >= fixed.JUDGED_WORDS) & ~F.exists("__anchors", lambda a: F.contains(text.lowered(s), a)))
+    loose = F.filter(parts, lambda s: (F.size(F.split(text.squeezed(s), " ", -1)) >= fixed.JUDGED_WORDS) & ~text.let(text.lowered(s), lambda low: F.exists("__anchors", lambda a: F.contains(low, a))))
     out = found.withColumns({
         "matched_facts": F.size(matched),
         "topic_terms_found": _held(terms, answer),
