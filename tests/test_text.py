@@ -16,10 +16,6 @@ TEXTS = [
 ]
 
 
-def folded(t):
-    return t.lower().replace("ß", "ss").replace("ς", "σ") if "ß" in t or "ς" in t or "Σ" in t else t.casefold()
-
-
 def canonical(t):
     return " ".join(t.casefold().split())
 

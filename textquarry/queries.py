@@ -17,7 +17,7 @@ from textquarry.plans.prepare import prepare
 
 PROSE_TOPICS = (("english prose", ("that", "with")), ("german prose", ("nicht", "der")), ("french prose", ("pour", "dans", "le")), ("spanish prose", ("para", "como", "las")))
 PROSE_PATTERNS = (("article pair", "the and "), ("licence line", r"licensed under [^.]+\."), ("rights", r"all rights reserved\."), ("short sentence", r"[.] [a-z]+ [a-z]+\."))
-SAMPLE, PHRASES, CONTEXT = 200_000, 4096, 64
+SAMPLE, PHRASES, CONTEXT = fixed.SAMPLE_BYTES, fixed.VOCABULARY, 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -251,23 +251,22 @@ def tokenizer_sample(spark, sf_dir):
     return splits.tokenizer_sample(split_documents(spark, sf_dir), SAMPLE).select("doc_id", F.hex("part").alias("part_hex"))
 
 
-def ascii_sample(spark, sf_dir):
-    """The sample of documents without other characters than ASCII, for SQL that counts characters and not bytes."""
-    plain = documents(spark, sf_dir).where(F.octet_length("text") == F.char_length("text"))
-    return splits.tokenizer_sample(splits.with_split(plain), SAMPLE)
+# Bytes as pairs of hexadecimal digits, each with a comma after it, so that SQL counts bytes whatever the characters.
+_NGRAMS = f"WITH {_SAMPLE}, parts AS (SELECT regexp_replace(left(hex(encode(text || chr(10))), 2 * ({SAMPLE} - start)::INT), '(..)', '\\1,', 'g') AS part FROM placed WHERE start < {SAMPLE}), regions AS (SELECT left(unnest(regexp_split_to_array(part, '(?:(?:09|0A|0B|0C|0D|20),)+')), 3 * 256) AS r FROM parts), words AS (SELECT r, count(*) AS c FROM regions WHERE length(r) >= 6 GROUP BY 1), sizes AS (SELECT r, c, unnest(range(2, least(12, length(r) // 3) + 1)) AS k FROM words), grams AS (SELECT c, substr(r, 3 * i::INT + 1, 3 * k::INT) AS phrase FROM (SELECT r, c, k, unnest(range(0, length(r) // 3 - k + 1)) AS i FROM sizes)), counted AS (SELECT replace(phrase, ',', '') AS phrase, sum(c)::BIGINT AS n FROM grams GROUP BY 1)"
 
 
-_NGRAMS = f"WITH {_SPLIT}, placed AS (SELECT doc_id, text, coalesce(sum({_BYTES} + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM split WHERE split = 'train' AND {_BYTES} = length(text)), parts AS (SELECT left(text || chr(10), ({SAMPLE} - start)::INT) AS part FROM placed WHERE start < {SAMPLE}), regions AS (SELECT left(unnest(regexp_split_to_array(part, '[ \\t\\n\\v\\f\\r]+')), 256) AS r FROM parts), sizes AS (SELECT r, unnest(range(2, least(12, length(r)) + 1)) AS k FROM regions WHERE length(r) >= 2), grams AS (SELECT substr(r, i::INT, k::INT) AS phrase FROM (SELECT r, k, unnest(range(1, length(r) - k + 2)) AS i FROM sizes)), counted AS (SELECT phrase, count(*) AS n FROM grams GROUP BY 1)"
+def sample_counts(spark, sf_dir):
+    return subwords.phrase_counts(splits.tokenizer_sample(split_documents(spark, sf_dir), SAMPLE))
 
 
 @query("ngram_counts", f"{_NGRAMS} SELECT phrase, n FROM counted")
 def ngram_counts(spark, sf_dir):
-    return subwords.phrase_counts(ascii_sample(spark, sf_dir)).select(F.decode("phrase", "UTF-8").alias("phrase"), "n")
+    return sample_counts(spark, sf_dir).select(F.hex("phrase").alias("phrase"), "n")
 
 
-@query("vocab_topk", f"{_NGRAMS} SELECT row_number() OVER (ORDER BY n * (length(phrase) - 1) DESC, n DESC, length(phrase) DESC, phrase DESC) + 257 AS token_id, phrase, n FROM counted WHERE n >= 2 ORDER BY 1 LIMIT {PHRASES - 258}")
+@query("vocab_topk", f"{_NGRAMS} SELECT row_number() OVER (ORDER BY n * (length(phrase) // 2 - 1) DESC, n DESC, length(phrase) DESC, phrase DESC) + 257 AS token_id, phrase, n FROM counted WHERE n >= 2 ORDER BY 1 LIMIT {PHRASES - 258}")
 def vocab_topk(spark, sf_dir):
-    return subwords.vocabulary_rows(subwords.phrase_counts(ascii_sample(spark, sf_dir)), PHRASES).select("token_id", F.decode("token", "UTF-8").alias("phrase"), "n")
+    return subwords.vocabulary_rows(sample_counts(spark, sf_dir), PHRASES).select("token_id", F.hex("token").alias("phrase"), "n")
 
 
 def tokenized(spark, sf_dir):
@@ -303,21 +302,25 @@ def fixed_offsets(spark, sf_dir):
     return windows.fixed_offsets(spark, 256_235, 1024).select("number", "offset")
 
 
+def byte_ids(column: str):
+    return F.transform(F.regexp_extract_all(F.hex(F.col(column).cast("binary")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
+
+
 def byte_stream(spark, sf_dir):
     """The validation documents as bytes with an end token, a stream that SQL can make too."""
-    split = splits.with_split(documents(spark, sf_dir)).where("split = 'validation' and octet_length(text) = char_length(text)")
-    chars = F.transform(F.split("text", ""), lambda c: F.ascii(c))
-    return windows.streamed(split.select("doc_id", "split", F.concat(chars, F.array(F.lit(fixed.EOS_ID))).alias("tokens")))
+    split = splits.with_split(documents(spark, sf_dir)).where("split = 'validation'")
+    return windows.streamed(split.select("doc_id", "split", F.concat(byte_ids("text"), F.array(F.lit(fixed.EOS_ID))).alias("tokens")))
 
 
-_STREAM = f"WITH {_SPLIT}, chars AS (SELECT doc_id, 0 AS e, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM split WHERE split = 'validation' AND {_BYTES} = length(text)), ids AS (SELECT doc_id, i, ord(c) AS t FROM chars UNION ALL SELECT doc_id, length(text) + 1, 256 FROM split WHERE split = 'validation' AND {_BYTES} = length(text)), stream AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS p, t FROM ids), n AS (SELECT count(*) AS n FROM stream), m AS (SELECT least(16, n - {CONTEXT}) AS k, n - {CONTEXT} - 1 AS last FROM n), offsets AS (SELECT i AS number, round_even(i * last / greatest(k - 1, 1)::DOUBLE, 0)::BIGINT AS o FROM m, range(16) t(i) WHERE i < k)"
+_BYTE_IDS = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: ('0x' || x)::INT)"
+_STREAM = f"WITH {_SPLIT}, ids AS (SELECT doc_id, unnest(t) AS t, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, list_append({_BYTE_IDS.format('text')}, 256) AS t FROM split WHERE split = 'validation')), stream AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS p, t FROM ids), n AS (SELECT count(*) AS n FROM stream), m AS (SELECT least(256, n - {CONTEXT}) AS k, n - {CONTEXT} - 1 AS last FROM n), offsets AS (SELECT i AS number, round_even(i * last / greatest(k - 1, 1)::DOUBLE, 0)::BIGINT AS o FROM m, range(256) t(i) WHERE i < k)"
 
 
-@query("token_windows", f"{_STREAM} SELECT number, o AS offset, (SELECT list(t ORDER BY p) FROM stream WHERE p >= o AND p < o + {CONTEXT}) AS x, (SELECT list(t ORDER BY p) FROM stream WHERE p > o AND p <= o + {CONTEXT}) AS y FROM offsets")
+@query("token_windows", f"{_STREAM} SELECT number, o AS offset, list(t ORDER BY p) FILTER (WHERE p < o + {CONTEXT}) AS x, list(t ORDER BY p) FILTER (WHERE p > o) AS y FROM offsets JOIN stream ON p >= o AND p <= o + {CONTEXT} GROUP BY number, o")
 def token_windows(spark, sf_dir):
     streams = byte_stream(spark, sf_dir)
     n = windows.stream_lengths(streams).first().tokens
-    return windows.windows(streams, windows.fixed_offsets(spark, n, CONTEXT, 16), CONTEXT)
+    return windows.windows(streams, windows.fixed_offsets(spark, n, CONTEXT), CONTEXT)
 
 
 @query("end_positions", f"{_STREAM} SELECT 'validation' AS split, p AS position FROM stream WHERE t = 256")
@@ -357,28 +360,27 @@ def byte_vocabulary():
     return subwords.Vocabulary([bytes([b]) for b in range(256)] + [b"", b""]).with_special((fixed.USER, fixed.ASSISTANT, fixed.END))
 
 
-def plain_examples(spark, sf_dir):
-    plain = examples(spark, sf_dir).where("octet_length(question) = char_length(question) and octet_length(answer) = char_length(answer)")
-    ids = instruction.encoded_examples(plain, byte_vocabulary())
-    return ids.withColumn("place", F.col("conv_id") * 1000 + F.col("turn"))
+def encoded_examples(spark, sf_dir):
+    ids = instruction.encoded_examples(examples(spark, sf_dir), byte_vocabulary())
+    return ids.withColumn("place", F.col("conv_id") * 1_000_000 + F.col("turn"))
 
 
-_IDS = f"{_EXAMPLES}, plain AS (SELECT *, conv_id * 1000 + turn AS place, list_transform(string_split(question, ''), lambda c: ord(c)) AS q, list_transform(string_split(answer, ''), lambda c: ord(c)) AS a FROM examples WHERE octet_length(encode(question)) = length(question) AND octet_length(encode(answer)) = length(answer)), masked AS (SELECT *, [258] || q || [259] || a AS input_ids, list_transform(range(len(q) + 1), lambda x: -100) || a || [260] AS labels FROM plain)"
+_IDS = f"{_EXAMPLES}, plain AS (SELECT *, conv_id * 1000000 + turn AS place, {_BYTE_IDS.format('question')} AS q, {_BYTE_IDS.format('answer')} AS a FROM examples), masked AS (SELECT *, [258] || q || [259] || a AS input_ids, list_transform(range(len(q) + 1), lambda x: -100) || a || [260] AS labels FROM plain)"
 
 
 @query("label_mask", f"WITH {_IDS} SELECT conv_id, turn, input_ids, labels FROM masked")
 def label_mask(spark, sf_dir):
-    return plain_examples(spark, sf_dir).select("conv_id", "turn", "input_ids", "labels")
+    return encoded_examples(spark, sf_dir).select("conv_id", "turn", "input_ids", "labels")
 
 
 @query("supervised_labels", f"WITH {_IDS} SELECT count(*) AS examples, sum(len(a) + 1)::BIGINT AS supervised FROM masked")
 def supervised_labels(spark, sf_dir):
-    return instruction.supervised(plain_examples(spark, sf_dir))
+    return instruction.supervised(encoded_examples(spark, sf_dir))
 
 
 @query("padded_batches", f"WITH {_IDS}, numbered AS (SELECT *, row_number() OVER (ORDER BY place) - 1 AS number FROM masked), batched AS (SELECT *, number // 8 AS batch, max(len(input_ids)) OVER (PARTITION BY number // 8) AS n FROM numbered) SELECT number, batch, input_ids || list_transform(range(n - len(input_ids)), lambda x: 257) AS input_ids, labels || list_transform(range(n - len(labels)), lambda x: -100) AS labels FROM batched")
 def padded_batches(spark, sf_dir):
-    return instruction.padded(instruction.numbered(plain_examples(spark, sf_dir), "place"), 8).select("number", "batch", "input_ids", "labels")
+    return instruction.padded(instruction.numbered(encoded_examples(spark, sf_dir), "place"), 8).select("number", "batch", "input_ids", "labels")
 
 
 # --- scoring and schedules ----------------------------------------------------------------------------------------------
