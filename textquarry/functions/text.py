@@ -49,25 +49,40 @@ def by_length(topics: Sequence[tuple[str, Sequence[str]]]) -> list[tuple[str, st
     return sorted(((alias, topic) for topic, aliases in topics for alias in aliases), key=lambda x: -len(x[0]))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once for a row: inside of a lambda it would be computed again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def topic(text: Column, topics=fixed.TOPIC_ALIASES) -> Column:
     """The topic of the longest alias that stands by itself in ``text``; a plain search comes before each pattern."""
-    text = folded(text)
-    out = None
-    for alias, name in by_length(topics):
-        found = F.contains(text, F.lit(alias)) & text.rlike(_alias_pattern(alias))
-        out = F.when(found, name) if out is None else out.when(found, name)
-    return F.lit(fixed.UNKNOWN_TOPIC) if out is None else out.otherwise(fixed.UNKNOWN_TOPIC)
+
+    def found(low: Column) -> Column:
+        out = None
+        for alias, name in by_length(topics):
+            here = F.contains(low, F.lit(alias)) & low.rlike(_alias_pattern(alias))
+            out = F.when(here, name) if out is None else out.when(here, name)
+        return F.lit(fixed.UNKNOWN_TOPIC) if out is None else out.otherwise(fixed.UNKNOWN_TOPIC)
+
+    return let(folded(text), found)
+
+
+def _topics_masked(text: Column, mask: str, topics) -> Column:
+    """Longer aliases first; texts that don't hold an alias at all are spared its pattern."""
+
+    def one(alias: str) -> Callable[[Column], Column]:
+        return lambda t: F.when(F.contains(t, F.lit(alias)), F.regexp_replace(t, _alias_pattern(alias), mask)).otherwise(t)
+
+    for alias, _ in by_length(topics):
+        text = let(text, one(alias))
+    return text
 
 
 def signature(text: Column, topics=fixed.TOPIC_ALIASES) -> Column:
     """The canonical text with template slots masked, in the fixed order."""
     out = canonical(text)
     for pattern, mask in fixed.SLOTS:
-        if pattern is fixed.TOPICS:
-            for alias, _ in by_length(topics):
-                out = F.regexp_replace(out, _alias_pattern(alias), mask)
-        else:
-            out = F.regexp_replace(out, "(?U)" + pattern, mask)
+        out = _topics_masked(out, mask, topics) if pattern is fixed.TOPICS else F.regexp_replace(out, "(?U)" + pattern, mask)
     return out
 
 
@@ -93,11 +108,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, " ", -1), lambda w: w != "")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of ``value``, which is computed once for a row: inside of a lambda it would be computed again for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def shingles(text: Column, size: int = fixed.SHINGLE_WORDS) -> Column:
     """The different runs of ``size`` words of the canonical text; a shorter text is one shingle."""
 
