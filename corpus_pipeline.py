@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 
 1. toxicity: documents judged toxic go;
 2. lines: long lines that at least three documents hold stay in the largest doc_id only (``n_chars`` follows the text);
-3. copies: of each group of near duplicates the smallest doc_id stays;
+3. copies: of each group of near duplicates (5-word shingles, Jaccard similarity 0.8 or more) the smallest doc_id stays;
 4. benchmark: documents that hold a benchmark item go;
 5. tokens: SentencePiece ids, checked against the text.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import decontam, linededup, sentencepieces, simhash, toxicity
+from textquarry.llm import decontam, linededup, neardups, sentencepieces, simhash, toxicity
 from textquarry.llm.common import table, written
 
 
@@ -33,7 +33,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_each(docs)
+    return simhash.first_of_each(docs, neardups.near_duplicates)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,13 +227,13 @@ def near_duplicates(docs: DataFrame, joined: bool | None = None, block: int = BL
     return each.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: its smallest doc_id.
+def first_of_each(docs: DataFrame, labelled=near_duplicates) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, as ``labelled`` finds them: its smallest doc_id.
 
     Of rows that repeat a doc_id and of a group without any doc_id, one row
     stays (the smallest text). Columns stay as they are.
     """
-    kept = written(near_duplicates(docs), "components", docs.count())
+    kept = written(labelled(docs), "components", docs.count())
     chosen = kept.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__tq_id")).agg(F.count("*").alias("__tq_n"))
     nameless = kept.where("component_id is null").select("fingerprint").distinct()
     once = docs.join(chosen.hint("shuffle_hash"), docs["doc_id"].cast("long") == chosen["__tq_id"], "left_semi")
@@ -243,7 +243,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
         return once
     # A group without names is one in which no row has a doc_id: rare, and never joined with the rest.
     texts = docs.where(F.col("doc_id").isNull())
-    own = near_duplicates(texts.select(F.xxhash64("text").alias("doc_id"), "text"))
+    own = labelled(texts.select(F.xxhash64("text").alias("doc_id"), "text"))
     own = own.where("doc_id = component_id").join(nameless, "fingerprint", "left_semi").select(F.col("doc_id").alias("__tq_id")).distinct()
     return once.unionByName(_least_row(texts.join(own, F.xxhash64(texts["text"]) == own["__tq_id"], "left_semi"), "text"))
 
