@@ -93,3 +93,27 @@ def test_word_ids():
     assert toxicity.word_ids("Ab,c é1 99".encode()).tolist() == [zlib.crc32(w.encode()) for w in ("ab", "c", "é0", "00")]
     x = toxicity._features(np.ones(1 << toxicity.WORD_BITS, np.float32), pa.array(["a b", "", None, "w " * 50]))
     assert x.tolist() == [[1, 1, 1], [0, 0, 0], [0, 0, 0], [1, 1, 1]]
+
+
+def test_every_word_keeps_its_own_ratio(spark):
+    # Two words that share a slot of 21 bits, one of them toxic only.
+    rng, seen, pair = random.Random(3), {}, None
+    while pair is None:
+        word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)).encode()
+        slot = zlib.crc32(word) & (1 << toxicity.WORD_BITS) - 1
+        pair = (seen[slot], word) if seen.get(slot, word) != word else None
+        seen[slot] = word
+    data = [(" ".join(f"{b}{k} {w.decode()}" for b in "abcdefghij"), y) for y, w in enumerate(pair) for k in "klm"]
+    counts = toxicity.word_counts(spark.createDataFrame(data, "text string, toxic int"))
+    ratios, _ = toxicity.log_ratios(counts)
+    found = {r.w: r.ratio for r in ratios.collect()}
+    own = [found[int(toxicity.word_keys(w).view(np.int64)[0])] for w in pair]
+    assert own[0] < 0 < own[1]
+    assert counts.count() == len({w for t, _ in data for w in toxicity.word_keys(t.encode()).tolist()}) == 32
+
+
+def test_joined_ratios_give_the_same(spark, tables, monkeypatch):
+    _, docs, labels = tables
+    want = sorted(map(str, toxicity.scored(docs, labels).collect()))
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 0)
+    assert sorted(map(str, toxicity.scored(docs, labels).collect())) == want

@@ -13,9 +13,11 @@ counts above them is left out on purpose: groups of copies inflate such counts,
 continuation counts (held-out fold of 4,061 documents, 427 toxic: 169 errors
 with that level, 3 without).
 
-Counts come from every labelled training document and are aggregated in Spark.
-What the scorer holds is bounded: a ratio for each of ``2**WORD_BITS`` slots; words are
-discounted before their slot is summed, so only well attested ones meet there.
+Counts come from every labelled training document and stay in Spark, one row for each
+word (64-bit key), however many there are. A word that no class attests after the discount has the
+same ratio as any other such word, whatever its shared count, so only attested ones
+have a row of their own in the table of ratios. It is broadcast up to ``MOST_WORDS``
+rows; beyond, the documents' distinct words are joined with it by shuffle.
 Labelled rows are dealt by crc32(doc_id as text) mod 5: 0 is held out, 1 fits
 the curve (on at most ``MOST_CURVE`` rows, a uniform choice by hash), 2 to 4 are counted.
 """
@@ -26,12 +28,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import slices, table
+from textquarry.llm.common import slices, table, written
 
+#: Slots of ``gathered``, which no score depends on.
 WORD_BITS = 21
+#: Rows of the table of ratios up to which it is broadcast.
+MOST_WORDS = 1 << 21
 DISCOUNT = 4.0
 TOP, PEAK = 3, 8
 MOST_CURVE = 20_000
@@ -47,58 +53,90 @@ def word_ids(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
 
 
+def word_keys(text: bytes | None) -> np.ndarray:
+    """64 bits for each word: xxh32, then crc32."""
+    words = text.translate(_KEEP).split() if text else ()
+    high = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint64, len(words))
+    return high << np.uint64(32) | np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+
+
 def _batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, the word before each or 0, number of words by text) of a batch."""
-    each = [word_ids(t) for t in texts.cast(pa.binary()).to_pylist()]
+    each = [word_keys(t) for t in texts.cast(pa.binary()).to_pylist()]
     sizes = np.fromiter(map(len, each), np.int64, len(each))
-    words = np.concatenate(each) if each else np.zeros(0, np.uint32)
-    before = np.concatenate([np.zeros(1, np.uint32), words[:-1]]) if len(words) else words
+    words = np.concatenate(each) if each else np.zeros(0, np.uint64)
+    before = np.concatenate([np.zeros(1, np.uint64), words[:-1]]) if len(words) else words
     starts = np.cumsum(sizes) - sizes
     before[starts[sizes > 0]] = 0
     return words, before, sizes
 
 
 def _counted(batches):
-    """Pairs of a batch, (before, word, n0, n1), summed within it."""
+    """Distinct pairs of a batch, (before, word, seen): bit 0 of ``seen`` for ordinary documents, bit 1 for toxic ones."""
     for batch in slices(batches, most=8 << 20):
         words, before, sizes = _batch_words(batch.column("text"))
-        toxic = np.repeat(batch.column("toxic").to_numpy().astype(np.int64), sizes)
-        pairs, at = np.unique(before.astype(np.uint64) << np.uint64(32) | words, return_inverse=True)
-        n = np.bincount(at * 2 + toxic, minlength=2 * len(pairs)).reshape(-1, 2).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array((pairs >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(n[:, 0]), pa.array(n[:, 1])],
-            ["v", "w", "n0", "n1"],
-        )
+        toxic = np.repeat(batch.column("toxic").to_numpy().astype(np.int8), sizes)
+        order = np.lexsort((words, before))
+        words, before, seen = words[order], before[order], (toxic + 1)[order].astype(np.int8)
+        starts = np.nonzero(np.r_[True, (words[1:] != words[:-1]) | (before[1:] != before[:-1])])[0] if len(words) else np.zeros(0, np.int64)
+        seen = np.bitwise_or.reduceat(seen, starts) if len(starts) else seen
+        yield pa.RecordBatch.from_arrays([pa.array(before[starts].view(np.int64)), pa.array(words[starts].view(np.int64)), pa.array(seen, pa.int8())], ["v", "w", "seen"])
+
+
+def word_counts(training: DataFrame) -> DataFrame:
+    """(w, t0, t1, t): the continuation counts of each word of ``training`` (text, toxic) in either class and in both together."""
+    pairs = training.select("text", "toxic").mapInArrow(_counted, "v long, w long, seen byte").groupBy("v", "w").agg(F.bit_or("seen").alias("seen"))
+    return pairs.groupBy("w").agg(*(F.count_if(F.col("seen").bitwiseAND(b) > 0).alias(t) for b, t in ((1, "t0"), (2, "t1"))), F.count("*").alias("t"))
+
+
+def _off(count: str, discount: float):
+    return F.greatest(F.col(count) - discount, F.lit(0.0))
 
 
 def gathered(training: DataFrame, discount: float = DISCOUNT) -> np.ndarray:
-    """(5, slots) continuation counts of ``training`` (text, toxic): discounted ones of either class, shared
-    ones, and undiscounted ones of either class. At most 2**WORD_BITS rows come to the driver."""
-    pairs = training.select("text", "toxic").mapInArrow(_counted, "v int, w int, n0 int, n1 int").groupBy("v", "w").agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"))
-    words = pairs.groupBy("w").agg(F.count_if(F.col("n0") > 0).alias("t0"), F.count_if(F.col("n1") > 0).alias("t1"), F.count("*").alias("t"))
-    off = lambda c: F.greatest(F.col(c) - discount, F.lit(0.0))
+    """(5, slots) continuation counts of ``training`` summed by slot, for comparisons of small tables: discounted
+    ones of either class, shared ones, and undiscounted ones of either class. Scores do not use it."""
     slot = F.col("w").bitwiseAND((1 << WORD_BITS) - 1).alias("slot")
-    found = words.groupBy(slot).agg(*(F.sum(c).cast("float").alias(f"x{k}") for k, c in enumerate((off("t0"), off("t1"), "t", "t0", "t1")))).toArrow()
+    each = (_off("t0", discount), _off("t1", discount), "t", "t0", "t1")
+    found = word_counts(training).groupBy(slot).agg(*(F.sum(c).cast("float").alias(f"x{k}") for k, c in enumerate(each))).toArrow()
     out = np.zeros((5, 1 << WORD_BITS), np.float32)
     for k in range(5):
         out[k, found["slot"].to_numpy()] = found[f"x{k}"].to_numpy()
     return out
 
 
-def log_ratios(counts: np.ndarray) -> np.ndarray:
-    """By slot: log p(word | toxic) - log p(word | ordinary)."""
-    lower, shared, own = counts[:2].astype(np.float64), counts[2].astype(np.float64), counts[3:].astype(np.float64)
-    base = (shared + 1) / (shared.sum() + len(shared))
-    total = np.maximum(own.sum(axis=1, keepdims=True), 1)
-    p = lower / total + (1 - lower.sum(axis=1, keepdims=True) / total) * base
-    return (np.log(p[1]) - np.log(p[0])).astype(np.float32)
+def log_ratios(counts: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, float]:
+    """(w, ratio) of the words that a class attests: log p(word | toxic) - log p(word | ordinary); and the ratio of all others."""
+    counts = written(counts, "words")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("double") for c in ("t", "t0", "t1", _off("t0", discount), _off("t1", discount))]
+    words, shared, n0, n1, l0, l1 = counts.agg(F.count("*"), *sums).first()
+    n0, n1 = max(n0, 1.0), max(n1, 1.0)
+    base = (F.col("t") + 1) / F.lit(shared + words + 1)
+    p = [_off(t, discount) / F.lit(n) + F.lit(1 - low / n) * base for t, n, low in (("t0", n0, l0), ("t1", n1, l1))]
+    attested = counts.where((F.col("t0") > discount) | (F.col("t1") > discount))
+    return written(attested.select("w", (F.log(p[1]) - F.log(p[0])).cast("float").alias("ratio")), "ratios", int(words)), float(np.log(1 - l1 / n1) - np.log(1 - l0 / n0))
 
 
-def _features(ratios: np.ndarray, texts: pa.Array) -> np.ndarray:
-    """(mean ratio, mean of the TOP largest, largest mean over PEAK words) of each text; zeros for one without words."""
+class Ratios:
+    """The ratios of some words by their keys, and that of all others."""
+
+    def __init__(self, words: np.ndarray, ratios: np.ndarray, other: float):
+        self.words, at = np.unique(words.view(np.uint64), return_index=True)
+        self.ratios, self.other = ratios[at].astype(np.float32), np.float32(other)
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(words), self.other)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.ratios[at], self.other)
+
+
+def _features(ratios, texts: pa.Array) -> np.ndarray:
+    """(mean ratio, mean of the TOP largest, largest mean over PEAK words) of each text; zeros for one without words.
+    ``ratios``: from keys to ratios, or an array by slot."""
     words, _, sizes = _batch_words(texts)
     out = np.zeros((len(sizes), 3))
-    r = ratios[words & np.uint32((1 << WORD_BITS) - 1)].astype(np.float64)
+    r = (ratios(words) if callable(ratios) else ratios[words & np.uint64((1 << WORD_BITS) - 1)]).astype(np.float64)
     ends = np.cumsum(sizes)
     for i in np.nonzero(sizes)[0]:
         x = r[ends[i] - sizes[i] : ends[i]]
@@ -108,6 +146,44 @@ def _features(ratios: np.ndarray, texts: pa.Array) -> np.ndarray:
     return out
 
 
+def _distinct_words(batches):
+    for batch in slices(batches):
+        each = [np.unique(word_keys(t)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        sizes = list(map(len, each))
+        keys = [pa.array(np.repeat(batch.column(k).to_numpy(), sizes)) for k in _KEYS]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate([*each, np.zeros(0, np.uint64)]).view(np.int64))], [*_KEYS, "w"])
+
+
+_KEYS = ["__tq_k1", "__tq_k2"]
+
+
+def _applied(rows: DataFrame, ratios: DataFrame, other: float, finish, schema) -> DataFrame:
+    """``finish(batch, features)`` of all batches of ``rows`` (text, ...), with the table of ratios broadcast or, where it is large, joined."""
+    if ratios.count() <= MOST_WORDS:
+        found = ratios.toArrow()
+        shared = rows.sparkSession.sparkContext.broadcast(Ratios(found["w"].to_numpy(), found["ratio"].to_numpy(), other))
+
+        def apply(batches):
+            for batch in slices(batches):
+                yield finish(batch, _features(shared.value, batch.column("text")))
+
+        return rows.mapInArrow(apply, schema)
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = rows.withColumns({"__tq_k1": F.xxhash64(text), "__tq_k2": F.xxhash64(F.lit(1), text)})
+    words = keyed.select(*_KEYS, "text").mapInArrow(_distinct_words, "__tq_k1 long, __tq_k2 long, w long").distinct()
+    own = words.join(ratios.hint("shuffle_merge"), "w").groupBy(*_KEYS).agg(F.collect_list(F.struct("w", "ratio")).alias("__tq_own"))
+
+    def apply_joined(batches):
+        for batch in slices(batches):
+            own = batch.column("__tq_own").flatten()
+            known = Ratios(own.field("w").to_numpy(zero_copy_only=False), own.field("ratio").to_numpy(zero_copy_only=False), other)
+            yield finish(batch.select(rows_columns), _features(known, batch.column("text")))
+
+    rows_columns = rows.columns
+    return keyed.join(own.hint("shuffle_merge"), _KEYS, "left").select(*rows.columns, "__tq_own").mapInArrow(apply_joined, schema)
+
+
 class Curve:
     """Logistic regression on standardised features, by Newton's method."""
 
@@ -145,20 +221,17 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(known, "__tq_id").select("text", "toxic", fold(F.col("__tq_id")).alias("fold"), F.xxhash64("__tq_id").alias("order"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, discount: float = DISCOUNT) -> tuple[np.ndarray, Curve]:
+def fitted(docs: DataFrame, labels: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, float, Curve]:
     rows = _labelled(docs, labels)
-    ratios = log_ratios(gathered(rows.where(F.col("fold") != CURVE), discount))
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    ratios, other = log_ratios(word_counts(rows.where(F.col("fold") != CURVE)), discount)
 
-    def measured(batches):
-        for batch in slices(batches):
-            x = _features(shared.value, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), batch.column("toxic"), batch.column("order")], ["a", "b", "c", "toxic", "order"])
+    def measured(batch, x):
+        return pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), batch.column("toxic"), batch.column("order")], ["a", "b", "c", "toxic", "order"])
 
-    curve = rows.where(F.col("fold") == CURVE).mapInArrow(measured, "a double, b double, c double, toxic int, order long")
+    curve = _applied(rows.where(F.col("fold") == CURVE), ratios, other, measured, "a double, b double, c double, toxic int, order long")
     found = curve.orderBy("order", "a", "toxic").limit(MOST_CURVE).toArrow()
     x = np.stack([found[c].to_numpy() for c in "abc"], axis=1).reshape(-1, 3)
-    return ratios, Curve(x, found["toxic"].to_numpy().astype(float))
+    return ratios, other, Curve(x, found["toxic"].to_numpy().astype(float))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -168,17 +241,13 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     follows from the curve alone. Null and repeated doc_ids stay as they are.
     Without any labelled row every score is 0.5; an empty table gives an empty one.
     """
-    ratios, curve = fitted(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((ratios, curve))
+    ratios, other, curve = fitted(docs, labels)
 
-    def judged(batches):
-        for batch in slices(batches):
-            ratios, curve = shared.value
-            score = curve(_features(ratios, batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "__tq_score"])
+    def judged(batch, x):
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(curve(x))], [*batch.schema.names, "__tq_score"])
 
     schema = docs.withColumn("__tq_score", F.lit(0.0)).schema
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(judged, schema)
+    return _applied(docs.withColumn("text", F.col("text").cast("string")), ratios, other, judged, schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
