@@ -70,6 +70,11 @@ def test_odd_rows(spark):
         S.decoded(spark.createDataFrame([([1, 99999],)], "x array<int>"), "x").collect()
 
 
+def test_every_document_is_compared(spark):
+    rows = S.op7(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 200 and all(r.parity for r in rows)
+
+
 def test_not_supported():
     with pytest.raises(ValueError, match="neither"):
         S.Spec(toy(3))

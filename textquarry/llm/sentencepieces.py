@@ -9,7 +9,7 @@ run of markers first, which changes no result and lets words be cached.
 
 Parity is verified, not assumed: the whole of ``PROBES`` when an encoder is
 built, and in each batch of documents the decoded text against the given one and the ids
-of the documents chosen by ``parity_share`` against the sentencepiece library.
+of every document against the sentencepiece library (equal texts of a batch once).
 """
 
 from __future__ import annotations
@@ -152,12 +152,12 @@ def read_model(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
-def encoded(docs: DataFrame, model: str = MODEL, threads: int = 2, parity_share: int = 20) -> DataFrame:
+def encoded(docs: DataFrame, model: str = MODEL, threads: int = 2, parity_share: int = 1) -> DataFrame:
     """All rows and columns of ``docs`` (text, ...) with __tq_ids (array of int), __tq_round_trip and __tq_parity.
 
     ``__tq_round_trip``: the pieces of the ids, put together, are the text. ``__tq_parity``: the ids
     are those of the sentencepiece library, on the texts whose crc32 is
-    divisible by ``parity_share`` (1: all texts), else null. A null text has null
+    divisible by ``parity_share`` (1, the default: all texts), else null. A null text has null
     ids, an empty one none. Order and repeated rows stay; an empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -175,9 +175,11 @@ def encoded(docs: DataFrame, model: str = MODEL, threads: int = 2, parity_share:
                 own = e.ids
                 trip[i] = b"".join([table[k] for k in own])[prefix and len(own) > 0 :] == texts[i].encode()
                 ids[i] = np.array(own, np.int32)
-            chosen = [i for i, t in enumerate(texts) if t is not None and zlib.crc32(t.encode()) % parity_share == 0]
-            for i, own in zip(chosen, theirs.encode([texts[i] for i in chosen], num_threads=1) if chosen else ()):
-                parity[i] = ids[i].tolist() == own
+            chosen = [i for i in some if parity_share == 1 or zlib.crc32(texts[i].encode()) % parity_share == 0]
+            once = list(dict.fromkeys(texts[i] for i in chosen))
+            wanted = dict(zip(once, theirs.encode(once, num_threads=1) if once else ()))
+            for i in chosen:
+                parity[i] = ids[i].tolist() == wanted[texts[i]]
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids), pa.array(trip, pa.bool_()), pa.array(parity, pa.bool_())], [*batch.schema.names, "__tq_ids", "__tq_round_trip", "__tq_parity"])
 
     typed = docs.withColumn("text", F.col("text").cast("string"))
