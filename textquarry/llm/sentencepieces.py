@@ -8,8 +8,8 @@ no piece holds the marker after another character, a text is split before each
 run of markers first, which changes no result and lets words be cached.
 
 Parity is verified, not assumed: the whole of ``PROBES`` when an encoder is
-built, and in each batch of documents the decoded text against the given one and the ids
-of every document against the sentencepiece library (equal texts of a batch once).
+built, and in each batch of documents the text that the rebuilt decoder makes of the ids against the given one
+and the ids of every document against the sentencepiece library (equal texts of a batch once).
 """
 
 from __future__ import annotations
@@ -121,29 +121,24 @@ def built(spec: Spec):
 
 @lru_cache(maxsize=4)
 def _encoder(digest: int, data: bytes):
-    """(tokenizer, sentencepiece processor, bytes of each id, whether a text gets a blank in front), once for each worker and model; raises where they disagree."""
+    """(tokenizer, sentencepiece processor), once for each worker and model; raises where they disagree."""
     import sentencepiece
 
     spec = Spec(data)
-    tokenizer, theirs, table = built(spec), sentencepiece.SentencePieceProcessor(model_proto=data), piece_bytes(spec)
+    tokenizer, theirs = built(spec), sentencepiece.SentencePieceProcessor(model_proto=data)
     for text in PROBES:
         mine = tokenizer.encode(text, add_special_tokens=False).ids
         if mine != theirs.encode(text):
             raise ValueError(f"no parity with the model for {text!r}: {mine} and {theirs.encode(text)}")
         if tokenizer.decode(mine, skip_special_tokens=False) != theirs.decode(mine):
             raise ValueError(f"no parity with the model in decoding {text!r}")
-    return tokenizer, theirs, table, spec.prefix
+    return tokenizer, theirs
 
 
 def encoder(data: bytes):
     return _encoder(zlib.crc32(data), data)
 
 
-def piece_bytes(spec: Spec) -> list[bytes]:
-    """What each id stands for in a text."""
-    return [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in spec.pieces]
-
-
 def read_model(spark: SparkSession, path: str) -> bytes:
     """The file's bytes; a local path is read on the driver, any other through Spark."""
     if "://" not in path:
@@ -155,8 +150,8 @@ def read_model(spark: SparkSession, path: str) -> bytes:
 def encoded(docs: DataFrame, model: str = MODEL, threads: int = 2, parity_share: int = 1) -> DataFrame:
     """All rows and columns of ``docs`` (text, ...) with __tq_ids (array of int), __tq_round_trip and __tq_parity.
 
-    ``__tq_round_trip``: the pieces of the ids, put together, are the text. ``__tq_parity``: the ids
-    are those of the sentencepiece library, on the texts whose crc32 is
+    ``__tq_round_trip``: the rebuilt decoder makes the text of the ids again. ``__tq_parity``: the ids are
+    those of the sentencepiece library, and so is what they decode to; on the texts whose crc32 is
     divisible by ``parity_share`` (1, the default: all texts), else null. A null text has null
     ids, an empty one none. Order and repeated rows stay; an empty table gives an empty one.
     """
@@ -166,20 +161,20 @@ def encoded(docs: DataFrame, model: str = MODEL, threads: int = 2, parity_share:
     def encode(batches):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        tokenizer, theirs, table, prefix = encoder(shared.value)
+        tokenizer, theirs = encoder(shared.value)
         for batch in slices(batches, most=ENCODED_AT_ONCE):
             texts = batch.column("text").to_pylist()
-            ids, trip, parity = [None] * len(texts), [None] * len(texts), [None] * len(texts)
-            some = [i for i, t in enumerate(texts) if t is not None]
-            for i, e in zip(some, tokenizer.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)):
-                own = e.ids
-                trip[i] = b"".join([table[k] for k in own])[prefix and len(own) > 0 :] == texts[i].encode()
-                ids[i] = np.array(own, np.int32)
-            chosen = [i for i in some if parity_share == 1 or zlib.crc32(texts[i].encode()) % parity_share == 0]
-            once = list(dict.fromkeys(texts[i] for i in chosen))
-            wanted = dict(zip(once, theirs.encode(once, num_threads=1) if once else ()))
-            for i in chosen:
-                parity[i] = ids[i].tolist() == wanted[texts[i]]
+            once = {t: i for i, t in enumerate(dict.fromkeys(t for t in texts if t is not None))}
+            own = [e.ids for e in tokenizer.encode_batch_fast(list(once), add_special_tokens=False)]
+            back = tokenizer.decode_batch(own, skip_special_tokens=False)
+            chosen = [t for t in once if parity_share == 1 or zlib.crc32(t.encode()) % parity_share == 0]
+            wanted = dict(zip(chosen, theirs.encode(chosen, num_threads=1) if chosen else ()))
+            # Where the decoder gives the text back, the library would have to as well; only others are decoded by both.
+            same = {t: own[once[t]] == w and (back[once[t]] == t or back[once[t]] == theirs.decode(w)) for t, w in wanted.items()}
+            arrays = [np.array(x, np.int32) for x in own]
+            ids = [None if t is None else arrays[once[t]] for t in texts]
+            trip = [None if t is None else back[once[t]] == t for t in texts]
+            parity = [same.get(t) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids), pa.array(trip, pa.bool_()), pa.array(parity, pa.bool_())], [*batch.schema.names, "__tq_ids", "__tq_round_trip", "__tq_parity"])
 
     typed = docs.withColumn("text", F.col("text").cast("string"))
@@ -199,7 +194,7 @@ def decoded(rows: DataFrame, ids: str = "__tq_ids", model: str = MODEL) -> DataF
     shared = spark.sparkContext.broadcast(read_model(spark, model))
 
     def decode(batches):
-        tokenizer, *_ = encoder(shared.value)
+        tokenizer, _ = encoder(shared.value)
         size = tokenizer.get_vocab_size()
         for batch in batches:
             each = batch.column(ids).to_pylist()
