@@ -1,7 +1,7 @@
 import sentencepiece
 
 import corpus_pipeline
-from tests.llm import test_decontam, test_linededup, test_simhash
+from tests.llm import test_decontam, test_linededup, test_neardups
 from textquarry.llm import sentencepieces, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -22,8 +22,7 @@ def test_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in toxicity.scored(docs, labels).where("__tq_score < 0.5").collect()]
     assert 0.8 * docs.count() < len(rows)
     rows = lines_dropped(rows)
-    pairs = [(d, test_simhash.slow_fingerprint(t)) for d, t in rows]
-    rows = [r for r, c in zip(rows, test_simhash.slow_components(pairs)) if r[0] == c]
+    rows = [r for r, c in zip(rows, test_neardups.slow_components(rows)) if r[0] == c]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaks = {x[0] for x in test_decontam.slow(rows, items)}
     rows = [r for r in rows if str(r[0]) not in leaks]

@@ -161,49 +161,58 @@ def forest(homes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return nodes[at], nodes[label[at]]
 
 
-def _compared(batches):
-    """Rows come sorted by block; a block's rows may run over several batches."""
-
-    def block(parts):
-        fps = np.concatenate([p[0] for p in parts]).view(np.uint64)
-        home = np.concatenate([p[1] for p in parts])
-        a, b = forest(fps[home], fps)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
+def blocks(batches, columns):
+    """The values of ``columns`` (arrays) of each block: rows come sorted by (key, h, p), and a block's rows may run over several batches."""
     held, last = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
         key = np.stack([batch.column(c).to_numpy() for c in ("key", "h", "p")])
-        fps, home = batch.column("fp").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.nonzero((key[:, 1:] != key[:, :-1]).any(axis=0))[0] + 1).tolist(), len(fps)]
+        arrays = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        cuts = [0, *(np.nonzero((key[:, 1:] != key[:, :-1]).any(axis=0))[0] + 1).tolist(), batch.num_rows]
         for i, j in zip(cuts, cuts[1:]):
             if last is not None and tuple(key[:, i]) != last:
-                yield from block(held)
+                yield [np.concatenate(x) for x in zip(*held)]
                 held = []
             last = tuple(key[:, i])
-            held.append((fps[i:j], home[i:j]))
+            held.append([a[i:j] for a in arrays])
     if held:
-        yield from block(held)
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
-def links(fps: DataFrame, joined: bool, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between the distinct fingerprints ``fps`` (fp); they join all that link."""
-    spread = fps.mapInArrow(_replicated(joined), "key long, fp long, home boolean")
+def _compared(batches):
+    for fps, home in blocks(batches, ("fp", "home")):
+        fps = fps.view(np.uint64)
+        a, b = forest(fps[home], fps)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+
+def gridded(spread: DataFrame, block: int, few: int | None) -> DataFrame:
+    """``spread`` (key, fp, home, ...) with (h, p) in place of a key alone, dealt and sorted by (key, h, p).
+
+    A key's homes are dealt over its h and all its rows over its p, so that no block has more than about ``block``
+    rows on either side and every home meets every row once. ``few``: as many rows as the table of crowded keys can have, if known.
+    """
+    own = [c for c in spread.columns if c not in ("key", "home")]
     sizes = spread.groupBy("key").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where((F.col("n") > block) & (F.col("homes") > 0))
-    crowded = written(sizes.select("key", F.ceil(F.col("homes") / block).cast("int").alias("hs"), F.ceil(F.col("n") / block).cast("int").alias("ps")), "crowded", None if joined else 3 << 12)
+    crowded = written(sizes.select("key", F.ceil(F.col("homes") / block).cast("int").alias("hs"), F.ceil(F.col("n") / block).cast("int").alias("ps")), "crowded", few)
     if crowded.count() <= MOST_BROADCAST:
         crowded = F.broadcast(crowded)
     spread = spread.join(crowded, "key", "left").withColumns({"hs": F.coalesce("hs", F.lit(1)), "ps": F.coalesce("ps", F.lit(1))})
     own_h, own_p = F.pmod(F.xxhash64("fp"), F.col("hs")).cast("int"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("ps")).cast("int")
-    one = spread.where("hs = 1 and ps = 1").select("key", F.lit(0).alias("h"), F.lit(0).alias("p"), "fp", "home")
+    one = spread.where("hs = 1 and ps = 1").select("key", F.lit(0).alias("h"), F.lit(0).alias("p"), *own, "home")
     many = spread.where("hs > 1 or ps > 1")
     # A home goes to its row of the grid as a home; every fingerprint goes to its column as an other.
-    rows = many.where("home").select("key", own_h.alias("h"), F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), "fp", "home")
-    columns = many.select("key", F.explode(F.sequence(F.lit(0), F.col("hs") - 1)).alias("h"), own_p.alias("p"), "fp", F.lit(False).alias("home"))
-    grid = one.unionByName(rows).unionByName(columns).repartition("key", "h", "p").sortWithinPartitions("key", "h", "p")
-    return grid.mapInArrow(_compared, "a long, b long")
+    rows = many.where("home").select("key", own_h.alias("h"), F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), *own, "home")
+    columns = many.select("key", F.explode(F.sequence(F.lit(0), F.col("hs") - 1)).alias("h"), own_p.alias("p"), *own, F.lit(False).alias("home"))
+    return one.unionByName(rows).unionByName(columns).repartition("key", "h", "p").sortWithinPartitions("key", "h", "p")
+
+
+def links(fps: DataFrame, joined: bool, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between the distinct fingerprints ``fps`` (fp); they join all that link."""
+    spread = fps.mapInArrow(_replicated(joined), "key long, fp long, home boolean")
+    return gridded(spread, block, None if joined else 3 << 12).mapInArrow(_compared, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, joined: bool | None = None, block: int = BLOCK) -> DataFrame:
