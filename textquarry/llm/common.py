@@ -24,13 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is absent (tests on one machine) a local folder is
-    made and set as the checkpoint folder of the context.
+    Only where that setting is absent and the master is local (tests on one machine) a temporary
+    folder is made and set as the checkpoint folder of the context; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not base:
         found = context.getCheckpointDir()
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = found.rsplit("/", 1)[0] if found else "file://" + tempfile.mkdtemp(prefix="textquarry-")
         if not found:
             context.setCheckpointDir(base)
@@ -78,8 +80,8 @@ def connected_components(edges: DataFrame, nodes: int | None = None, most_rounds
 
     Alternates the large-star and small-star steps until the edges no longer
     change; each round is written to the shared folder, so the lineage stays
-    short. Null ends and loops are dropped. Only joins and two-phase
-    aggregates are used: a hub's edges need not meet in one task.
+    short. Null ends and loops are dropped. Aggregates have two phases, and what they give is
+    written before it is joined, so that joins stand on plain shuffles, which AQE splits: a hub's edges need not meet in one task.
     """
     a, b = F.col("a"), F.col("b")
     now = written(edges.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges", nodes)
@@ -90,9 +92,9 @@ def connected_components(edges: DataFrame, nodes: int | None = None, most_rounds
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
         before = mark
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", mark[0])
+        large = written(both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")), "large", mark[0])
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least", mark[0])
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = written(small.union(least).distinct(), "edges", mark[0])
     raise RuntimeError(f"no components after {most_rounds} rounds")
