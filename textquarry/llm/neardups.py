@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, left: int = LEFT, right
     total = distinct.count()
     screened = ", ".join(f"{w} long" for w in _WORDS[:SCREEN])
     spread = distinct.select("fp", "n", *_WORDS).mapInArrow(_replicated, f"key int, fp long, n int, {screened}, home boolean")
-    edges = written(gridded(spread, block, PIECES << 12).mapInArrow(_met, "a long, b long").distinct(), "candidates")
+    edges = written(gridded(spread, block).mapInArrow(_met, "a long, b long").distinct(), "candidates")
 
     # One row of each text that some candidate edge names.
     named = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct().join(distinct.select("fp", "text.*"), "fp")

@@ -188,15 +188,15 @@ def _compared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
 
-def gridded(spread: DataFrame, block: int, few: int | None) -> DataFrame:
+def gridded(spread: DataFrame, block: int) -> DataFrame:
     """``spread`` (key, fp, home, ...) with (h, p) in place of a key alone, dealt and sorted by (key, h, p).
 
     A key's homes are dealt over its h and all its rows over its p, so that no block has more than about ``block``
-    rows on either side and every home meets every row once. ``few``: as many rows as the table of crowded keys can have, if known.
+    rows on either side and every home meets every row once.
     """
     own = [c for c in spread.columns if c not in ("key", "home")]
     sizes = spread.groupBy("key").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where((F.col("n") > block) & (F.col("homes") > 0))
-    crowded = written(sizes.select("key", F.ceil(F.col("homes") / block).cast("int").alias("hs"), F.ceil(F.col("n") / block).cast("int").alias("ps")), "crowded", few)
+    crowded = written(sizes.select("key", F.ceil(F.col("homes") / block).cast("int").alias("hs"), F.ceil(F.col("n") / block).cast("int").alias("ps")), "crowded")
     if crowded.count() <= MOST_BROADCAST:
         crowded = F.broadcast(crowded)
     spread = spread.join(crowded, "key", "left").withColumns({"hs": F.coalesce("hs", F.lit(1)), "ps": F.coalesce("ps", F.lit(1))})
@@ -212,7 +212,7 @@ def gridded(spread: DataFrame, block: int, few: int | None) -> DataFrame:
 def links(fps: DataFrame, joined: bool, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints ``fps`` (fp); they join all that link."""
     spread = fps.mapInArrow(_replicated(joined), "key long, fp long, home boolean")
-    return gridded(spread, block, None if joined else 3 << 12).mapInArrow(_compared, "a long, b long")
+    return gridded(spread, block).mapInArrow(_compared, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, joined: bool | None = None, block: int = BLOCK) -> DataFrame:
