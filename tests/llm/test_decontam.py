@@ -3,50 +3,65 @@ import random
 import regex
 
 from textquarry.llm import decontam
-from textquarry.llm.decontam import COVERAGE, LITERALS, MARK, UNITS, WINDOW
+from textquarry.llm.decontam import COVERAGE, LITERALS, MARK, SHORTEST, UNITS, WINDOW
 
 
 def template(text):
-    """(types or words, fillings), token by token."""
-    text = regex.sub(r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", MARK, (text or "").replace(MARK, " "))
+    """(literal codes, typed codes, words), token by token."""
+    text = regex.sub(r"(?<=[\p{Ll},;]\s{1,64})(?=\p{Lu}\p{Ll})", MARK, (text or "").replace(MARK, " "), flags=regex.ASCII).lower()
     found = regex.findall(decontam._TOKEN, text)
     number = lambda t: "0" <= t[0] <= "9"
-    code, fill = [], []
+    literal, typed = [], []
     for i, t in enumerate(found):
-        unit = i and t.lower() in UNITS and number(found[i - 1])
-        code.append(-1 if number(t) else -2 if unit else -3 if t[0] == MARK else t.lower())
-        fill.append(t.lower() if isinstance(code[-1], int) else None)
-    return code, fill
+        unit = i and t in UNITS and number(found[i - 1])
+        literal.append(-1 if number(t) else -2 if unit else t.removeprefix(MARK))
+        typed.append(-3 if t[0] == MARK else literal[-1])
+    return literal, typed, [t.removeprefix(MARK) for t in found]
 
 
-def windows(code):
-    return [tuple(code[i : i + WINDOW]) for i in range(len(code) - WINDOW + 1)]
+def windows(code, size=WINDOW):
+    return [tuple(code[i : i + size]) for i in range(len(code) - size + 1)]
+
+
+def says(window):
+    return sum(isinstance(c, str) for c in window) >= LITERALS
+
+
+def item_windows(text):
+    """(windows by place: sets of (kind, window), typed codes, words)."""
+    literal, typed, words = template(text)
+    places = list(enumerate(zip(windows(literal), windows(typed))))
+    for level in (lambda a, b: says(b), lambda a, b: says(a)):
+        own = {i: {("code", a)} | ({("code", b)} if says(b) else set()) for i, (a, b) in places if level(a, b)}
+        if own:
+            return own, typed, words
+    size = min(WINDOW, len(words))
+    return ({i: {("exact", w)} for i, w in enumerate(windows(words, size))} if len(words) >= SHORTEST else {}), [None] * len(words), words
 
 
 def slow(docs, items):
-    templates = {}
-    for item, t in items:
-        if t is not None and item is not None:
-            code, fill = template(t)
-            templates[item] = ({i: w for i, w in enumerate(windows(code)) if sum(isinstance(c, str) for c in w) >= LITERALS}, code, fill)
+    templates = {item: item_windows(t) for item, t in items if t is not None and item is not None}
     out = []
     for d, text in docs:
-        code, fill = template(text)
+        literal, typed, words = template(text)
         places = {}
-        for i, w in enumerate(windows(code)):
-            places.setdefault(w, []).append(i)
-        for item, (own, item_code, item_fill) in templates.items():
-            diagonals = {}
-            for at, w in own.items():
-                for i in places.get(w, ()):
-                    diagonals.setdefault(i - at, []).append(at)
+        for kind, code in (("code", literal), ("code", typed), *(("exact", words) for _ in range(1))):
+            for size in (WINDOW,) if kind == "code" else range(1, WINDOW + 1):
+                for i, w in enumerate(windows(code, size)):
+                    places.setdefault((kind, w), set()).add(i)
+        for item, (own, item_code, item_words) in templates.items():
+            diagonals, width = {}, min(WINDOW, len(item_words))
+            for at, each in own.items():
+                for w in each:
+                    for i in places.get(w, ()):
+                        diagonals.setdefault(i - at, set()).add(at)
             hit, others = set(), []
             for shift, ats in diagonals.items():
-                pairs = {(item_code[a + k], item_fill[a + k], fill[a + k + shift]) for a in ats for k in range(WINDOW) if item_fill[a + k] is not None}
+                pairs = {(item_code[a + k], item_words[a + k], words[a + k + shift]) for a in ats for k in range(width) if isinstance(item_code[a + k], int)}
                 if len({p[:2] for p in pairs}) == len(pairs):
-                    hit |= set(ats)
+                    hit |= ats
                     others.append(any(p[1] != p[2] for p in pairs))
-            if own and len(hit) >= COVERAGE * len(own) and hit:
+            if own and hit and len(hit) >= COVERAGE * len(own):
                 out.append((str(d), item, len(own), len(hit), round(len(hit) / len(own), 9), all(others)))
     return sorted(out)
 
@@ -55,6 +70,9 @@ ITEMS = [
     (1, "If Anna has 12 apples and gives 5 kg to Bob how many apples has Anna now out of 12"),
     (2, "the quick brown fox jumps over the lazy dog near the old river bank"),
     (3, "too short"), (4, None), (5, ""), (None, "an item without an id that has many words"), (6, "12 13 14 15 16 17 18"),
+    (7, "The treaty was signed when Alice met Bob near Paris while Carol visited London and Berlin with David"),
+    (8, "a train goes from Leeds to York at 30 km in 2 hours how far"), (9, "Who wrote Hamlet?"), (10, "alone"),
+    (11, "we saw Anna Berta Carla Dora Emma Fritz"),
 ]
 
 
@@ -66,6 +84,8 @@ def texts():
     wrong = "so if Peter has 30 apples and gives 8 km to Carl how many apples has Maria now out of 31"
     return [
         None, "", "x", some(50), some(900), ITEMS[0][1], f"{some(40)}\n{ITEMS[1][1]}. {some(9)}", f"{some(9)} {asked} {some(9)}", f"{some(9)} {wrong}",
+        ITEMS[7][1].lower(), ITEMS[7][1].upper(), ITEMS[7][1].replace(" ", "\n"), ITEMS[7][1].replace(" ", "  "), ITEMS[8][1].replace(" ", " \n\t"), f"{some(5)} who WROTE\nhamlet {some(3)}",
+        ITEMS[7][1].replace("Alice", "Xenia").replace("Bob", "Yorick").replace("Paris", "Rome").replace("Carol", "Zoe").replace("David", "Willy"), "alone", ITEMS[11][1], ITEMS[11][1].upper(),
         ITEMS[1][1].upper(), "the quick brown fox jumps over the lazy cat", "the quick brown", f"{ITEMS[1][1]} {some(5)} " * 50, MARK + ITEMS[1][1], "12 13 14 15 16 17 18",
     ]
 
@@ -78,6 +98,11 @@ def test_equals_brute_force(spark):
     assert sorted((str(r.doc_id), r.item_id, r.n_windows, r.n_found, round(r.coverage, 9), r.reparameterised) for r in got.collect()) == slow(rows, ITEMS)
     asked = {(r.doc_id, r.item_id): r.reparameterised for r in got.collect()}
     assert asked[3, 1] is True and (4, 1) not in asked
+    found = {(t, x[1]): x[5] for _, t in rows for x in slow([(0, t)], ITEMS)}
+    copies = [t for t in texts() if t and "".join(ITEMS[7][1].lower().split()) in "".join(t.lower().split())]
+    assert len(copies) == 4 and all(found[t, 7] is False for t in copies)
+    assert any("Xenia" in t and i == 7 and other for (t, i), other in found.items())
+    assert {i for _, i in found} == {1, 2, 6, 7, 8, 9, 11}
     kept = decontam.clean(docs, items)
     assert kept.columns == docs.columns
     gone = {(d, texts_) for d, texts_ in rows if any((str(d), 0) <= (x[0], 0) and x[0] == str(d) for x in slow([(d, texts_)], ITEMS))}
