@@ -1,10 +1,12 @@
+import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from textquarry.llm import toxicity
@@ -37,23 +39,90 @@ def tables(spark):
     return data, docs, labels
 
 
-def test_counts_equal_brute_force(spark, tables):
+def slow_words(text):
+    """The words by their spelling, with an empty one in front."""
+    kept = (text or "").encode().translate(toxicity._KEEP).split()
+    return [b"", *kept]
+
+
+def slow_features(training, docs, least=5):
+    """The three features of ``docs`` from (text, toxic) rows, by plain dictionaries."""
+    pairs, before = [Counter(), Counter()], [defaultdict(set), defaultdict(set), defaultdict(set)]
+    for text, y in training:
+        words = slow_words(text)
+        for v, w in set(zip(words, words[1:])):
+            pairs[y][v, w] += 1
+            before[y][w].add(v)
+            before[2][w].add(v)
+    t = [{w: len(vs) for w, vs in each.items()} for each in before]
+
+    def discount(counts):
+        ones, twos = (sum(c == k for c in counts.values()) for k in (1, 2))
+        return min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else 0.5
+
+    d, whole = [discount(t[k]) for k in (0, 1)], [discount(pairs[k]) for k in (0, 1)]
+    n, shared, words = [max(1, sum(t[k].values())) for k in (0, 1)], sum(t[2].values()), len(t[2])
+    off = lambda k, w: max(t[k].get(w, 0) - d[k], 0) if t[2].get(w, 0) >= least else 0
+    low = [1 - sum(off(k, w) for w in t[k]) / n[k] for k in (0, 1)]
+    single = lambda k, w: off(k, w) / n[k] + low[k] * (t[2].get(w, 0) + 1) / (shared + words + 1)
+    kept = {p for p in {*pairs[0], *pairs[1]} if pairs[0][p] + pairs[1][p] >= least}
+    total, mass = [Counter(), Counter()], [Counter(), Counter()]
+    for k in (0, 1):
+        for p, c in pairs[k].items():
+            total[k][p[0]] += c
+            mass[k][p[0]] += c - whole[k] if p in kept else 0
+
+    def full(k, v, w):
+        if not total[k][v]:
+            return single(k, w)
+        own = (pairs[k][v, w] - whole[k]) / total[k][v] if (v, w) in kept and pairs[k][v, w] else 0
+        return own + (1 - mass[k][v] / total[k][v]) * single(k, w)
+
+    out = []
+    for text in docs:
+        ws = slow_words(text)
+        x = [math.log(single(1, w) / single(0, w)) for w in ws[1:]]
+        y = [math.log(full(1, v, w) / full(0, v, w)) for v, w in zip(ws, ws[1:])]
+        peaks = [sum(x[i : i + toxicity.PEAK]) / toxicity.PEAK for i in range(len(x) - toxicity.PEAK + 1)]
+        top = sorted(x)[-toxicity.TOP :]
+        out.append([sum(y) / len(y), sum(top) / len(top), max(peaks) if len(x) > toxicity.PEAK else sum(x) / len(x)] if x else [0, 0, 0])
+    return np.array(out, float)
+
+
+def slow_scores(docs, labels):
+    """The score of each (doc_id, text), as the docstrings say."""
+    toxic = defaultdict(int)
+    for d, y in labels:
+        if d is not None and y is not None and crc(d) != 0:
+            toxic[d] = max(toxic.get(d, 0), int(y == 1))
+    known = [(d, t, toxic[d]) for d, t in docs if d in toxic]
+    features = slow_features([(t, y) for d, t, y in known if crc(d) != 1], [t for _, t in docs])
+    at = [(i, toxic[d]) for i, (d, _) in enumerate(docs) if d in toxic and crc(d) == 1]
+    return toxicity.Curve(features[[i for i, _ in at]], np.array([y for _, y in at], float))(features)
+
+
+def test_scores_equal_brute_force(spark, tables):
     data, docs, labels = tables
-    training = toxicity._labelled(docs, labels).where(F.col("fold") != toxicity.CURVE)
-    texts = [(t, y) for d, t, y in data if d % 10 != 7 and crc(d) not in (0, 1)] + ([("blarg snork grumf", 0)] if crc(3) not in (0, 1) else [])
-    types = [defaultdict(set), defaultdict(set), defaultdict(set)]
-    for t, y in texts:
-        before = 0
-        for w in t.lower().split():
-            w = zlib.crc32(w.encode())
-            types[y][w].add(before)
-            types[2][w].add(before)
-            before = w
-    want = np.zeros((5, 1 << toxicity.WORD_BITS))
-    for w, seen in types[2].items():
-        n = [len(types[0][w]), len(types[1][w])]
-        want[:, w & (1 << toxicity.WORD_BITS) - 1] += [max(n[0] - 4, 0), max(n[1] - 4, 0), len(seen), *n]
-    assert (toxicity.gathered(training) == want).all()
+    got = toxicity.scored(docs, labels).collect()
+    want = slow_scores([(r.doc_id, r.text) for r in got], [(r.doc_id, r.toxic) for r in labels.collect()])
+    assert np.abs(np.array([r["__tq_score"] for r in got]) - want).max() < 1e-4
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_real_scores_equal_brute_force(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.scored(docs.select("doc_id", "text"), labels).collect()
+    want = slow_scores([(r.doc_id, r.text) for r in got], [(r.doc_id, r.toxic) for r in labels.collect()])
+    assert np.abs(np.array([r["__tq_score"] for r in got]) - want).max() < 1e-4
+
+
+def test_the_context_counts():
+    key = lambda t: toxicity.word_keys(t)
+    v, w = key(b"a b").tolist()
+    pair = toxicity.pair_keys(np.array([v], np.uint64), np.array([w], np.uint64))
+    known = toxicity.Ratios(np.array([0, 1, 2]), np.array([w, v, pair[0]], np.uint64).view(np.int64), np.array([1.0, 0.25, 5.0]), -2.0)
+    single, full = known(key(b"a b b c"), np.concatenate([[np.uint64(0)], key(b"a b b")]))
+    assert single.tolist() == [-2, 1, 1, -2] and full.tolist() == [-2, 5, 1, -2]
 
 
 def test_held_out_rows_are_told_apart(spark, tables):
@@ -89,31 +158,25 @@ def test_contract(spark):
         assert r.held_out == (crc(r.doc_id) == 0) and r.predicted == int(r.score >= 0.5)
 
 
-def test_word_ids():
-    assert toxicity.word_ids("Ab,c é1 99".encode()).tolist() == [zlib.crc32(w.encode()) for w in ("ab", "c", "é0", "00")]
-    x = toxicity._features(np.ones(1 << toxicity.WORD_BITS, np.float32), pa.array(["a b", "", None, "w " * 50]))
-    assert x.tolist() == [[1, 1, 1], [0, 0, 0], [0, 0, 0], [1, 1, 1]]
+def test_words():
+    key = lambda w: xxhash.xxh32_intdigest(w) << 32 | zlib.crc32(w)
+    assert toxicity.word_keys("Ab,c é1 99".encode()).tolist() == [key(w.encode()) for w in ("ab", "c", "é0", "00")]
+    none = toxicity.Ratios(*(np.zeros(0, np.int64),) * 3, 1.0)
+    x = toxicity._features(none, pa.array(["a b", "", None, "w " * 50, "w " * 300_000]))
+    assert x.tolist() == [[1, 1, 1], [0, 0, 0], [0, 0, 0], [1, 1, 1], [1, 1, 1]]
 
 
-def test_every_word_keeps_its_own_ratio(spark):
-    # Two words that share a slot of 21 bits, one of them toxic only.
-    rng, seen, pair = random.Random(3), {}, None
-    while pair is None:
-        word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)).encode()
-        slot = zlib.crc32(word) & (1 << toxicity.WORD_BITS) - 1
-        pair = (seen[slot], word) if seen.get(slot, word) != word else None
-        seen[slot] = word
-    data = [(" ".join(f"{b}{k} {w.decode()}" for b in "abcdefghij"), y) for y, w in enumerate(pair) for k in "klm"]
-    counts = toxicity.word_counts(spark.createDataFrame(data, "text string, toxic int"))
-    ratios, _ = toxicity.log_ratios(counts)
-    found = {r.w: r.ratio for r in ratios.collect()}
-    own = [found[int(toxicity.word_keys(w).view(np.int64)[0])] for w in pair]
-    assert own[0] < 0 < own[1]
-    assert counts.count() == len({w for t, _ in data for w in toxicity.word_keys(t.encode()).tolist()}) == 32
+def test_the_curve_takes_a_share_of_its_fold(spark, tables, monkeypatch):
+    data, docs, labels = tables
+    monkeypatch.setattr(toxicity, "MOST_CURVE", 40)
+    rows = toxicity._labelled(docs, labels).collect()
+    known = {d for d, _, _ in data if d % 10 != 7 and crc(d) != 0}
+    assert len(rows) == len(known) + (1 if 3 in known else 0)
+    assert 15 < sum(r.curve for r in rows) < 80
 
 
 def test_joined_ratios_give_the_same(spark, tables, monkeypatch):
     _, docs, labels = tables
     want = sorted(map(str, toxicity.scored(docs, labels).collect()))
-    monkeypatch.setattr(toxicity, "MOST_WORDS", 0)
+    monkeypatch.setattr(toxicity, "MOST_ROWS", 0)
     assert sorted(map(str, toxicity.scored(docs, labels).collect())) == want

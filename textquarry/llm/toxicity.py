@@ -1,25 +1,25 @@
 r"""Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary documents, are compared by their
-log-likelihoods per word. Each discounts its own continuation counts (in how
-many different contexts a word was seen) and interpolates them with those that
-both classes share: what was seen rarely is smoothed towards the same value in
-both, and only expressions well attested in a class tell it from the other. A
-logistic curve over the mean log-likelihood ratio, that of the TOP words that
-speak most for toxicity, and its largest mean over PEAK words gives the score.
-
-Pairs of words enter through the continuation counts only. A level of raw pair
-counts above them is left out on purpose: groups of copies inflate such counts, not
-continuation counts (held-out fold of 4,061 documents, 427 toxic: 169 errors
-with that level, 3 without).
+Two interpolated bigram models, of toxic and of ordinary documents, are compared by their
+log-likelihoods per word:
+
+    p(w | v) = max(n(v, w) - D, 0) / n(v) + l(v) p(w),  p(w) = max(t(w) - d, 0) / t + l u(w)
+
+n(v, w) counts documents with the pair and t(w) the different words before w, both in the class; u comes
+from the continuation counts that the classes share, so what was seen rarely is smoothed towards the same value in
+both. D and d are estimated for each class from how many counts are one and two. Words with under ``LEAST``
+different words before them, and pairs in under ``LEAST`` documents, back off wholly (count cutoffs): so only expressions
+attested in different places tell the classes apart, and no group of copies makes one.
+
+The score is a logistic curve over the difference of the mean log-likelihoods, that of the TOP words that
+speak most for toxicity, and its largest mean over PEAK words; the latter two take p(w) alone, as a rare pair says too much in so few words.
 
 Counts come from every labelled training document and stay in Spark, one row for each
-word (64-bit key), however many there are. A word that no class attests after the discount has the
-same ratio as any other such word, whatever its shared count, so only attested ones
-have a row of their own in the table of ratios. It is broadcast up to ``MOST_WORDS``
-rows; beyond, the documents' distinct words are joined with it by shuffle.
-Labelled rows are dealt by crc32(doc_id as text) mod 5: 0 is held out, 1 fits
-the curve (on at most ``MOST_CURVE`` rows, a uniform choice by hash), 2 to 4 are counted.
+word, context and pair (64-bit keys), however many there are. Of these only words and pairs beyond the cutoffs and contexts of such pairs
+have a value of their own in the table of ratios. It is broadcast up to ``MOST_ROWS``
+rows; beyond, the documents' distinct words and pairs are joined with it by shuffle.
+Labelled rows are dealt by crc32(doc_id as text) mod 5: 0 is held out, of 1 at most ``MOST_CURVE`` rows (a uniform
+choice by hash) fit the curve, all others are counted. Settings were chosen on fold 1.
 """
 
 from __future__ import annotations
@@ -34,32 +34,34 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.common import slices, table, written
 
-#: Slots of ``gathered``, which no score depends on.
-WORD_BITS = 21
 #: Rows of the table of ratios up to which it is broadcast.
-MOST_WORDS = 1 << 21
-DISCOUNT = 4.0
+MOST_ROWS = 1 << 21
+#: Contexts of a word, documents of a pair from which on they count.
+LEAST = 5
 TOP, PEAK = 3, 8
 MOST_CURVE = 20_000
 #: Labels up to which they are broadcast to the documents.
 MOST_BROADCAST = 1_000_000
 FOLDS, HELD_OUT, CURVE = 5, 0, 1
+WORD, CONTEXT, PAIR, TOTALS = 0, 1, 2, 3
 _KEEP = bytes(c if c >= 0x80 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 32 for c in range(256))
 
 
-def word_ids(text: bytes | None) -> np.ndarray:
-    """crc32 of each word: a run of letters, digits (all alike) and non-ASCII characters, A-Z lower-cased."""
-    words = text.translate(_KEEP).split() if text else ()
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-
-
 def word_keys(text: bytes | None) -> np.ndarray:
-    """64 bits for each word: xxh32, then crc32."""
+    """64 bits (xxh32, then crc32) for each word: a run of letters, digits (all alike) and non-ASCII characters, A-Z lower-cased."""
     words = text.translate(_KEEP).split() if text else ()
     high = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint64, len(words))
     return high << np.uint64(32) | np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
 
 
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return words ^ (before << np.uint64(31) | before >> np.uint64(33))
+
+
+def _pair_key(v, w):
+    return w.bitwiseXOR(F.shiftleft(v, 31).bitwiseOR(F.shiftrightunsigned(v, 33)))
+
+
 def _batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, the word before each or 0, number of words by text) of a batch."""
     each = [word_keys(t) for t in texts.cast(pa.binary()).to_pylist()]
@@ -72,86 +74,133 @@ def _batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _counted(batches):
-    """Distinct pairs of a batch, (before, word, seen): bit 0 of ``seen`` for ordinary documents, bit 1 for toxic ones."""
+    """(v, w, n0, n1): in how many ordinary and toxic documents of a batch w comes after v."""
     for batch in slices(batches, most=8 << 20):
         words, before, sizes = _batch_words(batch.column("text"))
-        toxic = np.repeat(batch.column("toxic").to_numpy().astype(np.int8), sizes)
-        order = np.lexsort((words, before))
-        words, before, seen = words[order], before[order], (toxic + 1)[order].astype(np.int8)
-        starts = np.nonzero(np.r_[True, (words[1:] != words[:-1]) | (before[1:] != before[:-1])])[0] if len(words) else np.zeros(0, np.int64)
-        seen = np.bitwise_or.reduceat(seen, starts) if len(starts) else seen
-        yield pa.RecordBatch.from_arrays([pa.array(before[starts].view(np.int64)), pa.array(words[starts].view(np.int64)), pa.array(seen, pa.int8())], ["v", "w", "seen"])
-
-
-def word_counts(training: DataFrame) -> DataFrame:
-    """(w, t0, t1, t): the continuation counts of each word of ``training`` (text, toxic) in either class and in both together."""
-    pairs = training.select("text", "toxic").mapInArrow(_counted, "v long, w long, seen byte").groupBy("v", "w").agg(F.bit_or("seen").alias("seen"))
-    return pairs.groupBy("w").agg(*(F.count_if(F.col("seen").bitwiseAND(b) > 0).alias(t) for b, t in ((1, "t0"), (2, "t1"))), F.count("*").alias("t"))
-
+        if not len(words):
+            continue
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(pair_keys(before, words), kind="stable")
+        words, before, doc = words[order], before[order], doc[order]
+        new = np.r_[True, (words[1:] != words[:-1]) | (before[1:] != before[:-1])]
+        once = new | np.r_[True, doc[1:] != doc[:-1]]
+        toxic = batch.column("toxic").to_numpy()[doc] == 1
+        starts = np.nonzero(new)[0]
+        n = [np.add.reduceat((once & side).astype(np.int32), starts) for side in (~toxic, toxic)]
+        yield pa.RecordBatch.from_arrays([pa.array(before[starts].view(np.int64)), pa.array(words[starts].view(np.int64)), *(pa.array(x, pa.int32()) for x in n)], ["v", "w", "n0", "n1"])
+
+
+def counted(training: DataFrame, least: int = LEAST) -> DataFrame:
+    """(kind, v, w, x0, x1, x, y0, y1) from ``training`` (text, toxic), in one pass:
+
+    PAIR: n(v, w) of either class (x0, x1) where both together are at least ``least``. WORD: for each word w its
+    continuation counts in either class and in both (x0, x1, x), and n(w) as a context (y0, y1). TOTALS: one row with
+    the number of pairs that a class has once (x0, x1) and twice (y0, y1).
+    """
+    pairs = training.select("text", "toxic").mapInArrow(_counted, "v long, w long, n0 int, n1 int").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    zero, flag = F.lit(0).cast("long"), lambda c: c.cast("int").cast("long")
+    has = [F.col(n) > 0 for n in ("n0", "n1")]
+    kept = pairs.where(F.col("n0") + F.col("n1") >= least).select(F.lit(PAIR).alias("kind"), "v", "w", F.col("n0").alias("x0"), F.col("n1").alias("x1"), zero.alias("x"), zero.alias("y0"), zero.alias("y1"))
+    after = F.struct(F.col("w").alias("w"), flag(has[0]).alias("x0"), flag(has[1]).alias("x1"), F.lit(1).cast("long").alias("x"), zero.alias("y0"), zero.alias("y1"))
+    ahead = F.struct(F.col("v").alias("w"), zero.alias("x0"), zero.alias("x1"), zero.alias("x"), F.col("n0").alias("y0"), F.col("n1").alias("y1"))
+    names = ("x0", "x1", "x", "y0", "y1")
+    words = pairs.select(F.explode(F.array(after, ahead)).alias("e")).groupBy(F.col("e.w").alias("w")).agg(*(F.sum(F.col("e")[c]).alias(c) for c in names))
+    totals = pairs.agg(*(F.count_if(F.col(n) == k).alias(c) for c, n, k in (("x0", "n0", 1), ("x1", "n1", 1), ("y0", "n0", 2), ("y1", "n1", 2))))
+    words = words.select(F.lit(WORD).alias("kind"), zero.alias("v"), "w", *names)
+    totals = totals.select(F.lit(TOTALS).alias("kind"), zero.alias("v"), zero.alias("w"), "x0", "x1", zero.alias("x"), "y0", "y1")
+    return kept.unionByName(words).unionByName(totals)
 
-def _off(count: str, discount: float):
-    return F.greatest(F.col(count) - discount, F.lit(0.0))
 
+def discount(ones: int, twos: int) -> float:
+    """The Kneser-Ney estimate, kept off 0 and 1; a half without any."""
+    return min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else 0.5
 
-def gathered(training: DataFrame, discount: float = DISCOUNT) -> np.ndarray:
-    """(5, slots) continuation counts of ``training`` summed by slot, for comparisons of small tables: discounted
-    ones of either class, shared ones, and undiscounted ones of either class. Scores do not use it."""
-    slot = F.col("w").bitwiseAND((1 << WORD_BITS) - 1).alias("slot")
-    each = (_off("t0", discount), _off("t1", discount), "t", "t0", "t1")
-    found = word_counts(training).groupBy(slot).agg(*(F.sum(c).cast("float").alias(f"x{k}") for k, c in enumerate(each))).toArrow()
-    out = np.zeros((5, 1 << WORD_BITS), np.float32)
-    for k in range(5):
-        out[k, found["slot"].to_numpy()] = found[f"x{k}"].to_numpy()
-    return out
 
+def log_ratios(counts: DataFrame, least: int = LEAST) -> tuple[DataFrame, float]:
+    """(kind, key, ratio), and the ratio of all other words; ``counts`` as ``counted`` gives them.
 
-def log_ratios(counts: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, float]:
-    """(w, ratio) of the words that a class attests: log p(word | toxic) - log p(word | ordinary); and the ratio of all others."""
-    counts = written(counts, "words")
-    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("double") for c in ("t", "t0", "t1", _off("t0", discount), _off("t1", discount))]
-    words, shared, n0, n1, l0, l1 = counts.agg(F.count("*"), *sums).first()
-    n0, n1 = max(n0, 1.0), max(n1, 1.0)
-    base = (F.col("t") + 1) / F.lit(shared + words + 1)
-    p = [_off(t, discount) / F.lit(n) + F.lit(1 - low / n) * base for t, n, low in (("t0", n0, l0), ("t1", n1, l1))]
-    attested = counts.where((F.col("t0") > discount) | (F.col("t1") > discount))
-    return written(attested.select("w", (F.log(p[1]) - F.log(p[0])).cast("float").alias("ratio")), "ratios", int(words)), float(np.log(1 - l1 / n1) - np.log(1 - l0 / n0))
+    WORD: log p(w | toxic) - log p(w | ordinary). CONTEXT: the same of what v leaves to the words after it. PAIR: that of p(w | v).
+    """
+    counts = written(counts, "counts")
+    words, pairs = counts.where(F.col("kind") == WORD), counts.where(F.col("kind") == PAIR)
+    ones = counts.where(F.col("kind") == TOTALS).first()
+    whole = [discount(ones.x0, ones.y0), discount(ones.x1, ones.y1)] if ones else [0.5, 0.5]
+    few = words.agg(*(F.count_if(F.col(c) == k) for c in ("x0", "x1") for k in (1, 2))).first()
+    small = [discount(few[0], few[1]), discount(few[2], few[3])]
+    beyond = F.col("x") >= least
+    off = [F.when(beyond & (F.col(c) > 0), F.col(c) - small[k]).otherwise(0.0) for k, c in enumerate(("x0", "x1"))]
+    sums = words.agg(F.count_if(F.col("x") > 0), *(F.coalesce(F.sum(c), F.lit(0)).cast("double") for c in ("x", "x0", "x1")), *(F.coalesce(F.sum(c.cast("decimal(28,6)")), F.lit(0)).cast("double") for c in off)).first()
+    n_words, shared, n0, n1, k0, k1 = sums
+    n = [max(n0, 1.0), max(n1, 1.0)]
+    low = [1 - k0 / n[0], 1 - k1 / n[1]]
+    base = (F.col("x") + 1) / F.lit(shared + n_words + 1)
+    p = [off[k] / F.lit(n[k]) + F.lit(low[k]) * base for k in (0, 1)]
+    each = words.select("w", "y0", "y1", beyond.alias("own"), p[0].alias("p0"), p[1].alias("p1"))
+
+    contexts = pairs.groupBy("v").agg(*(F.sum(c).alias(c) for c in ("x0", "x1")), *(F.count_if(F.col(c) > 0).alias(f"m{k}") for k, c in enumerate(("x0", "x1"))))
+    left = [F.when(F.col(f"y{k}") > 0, 1 - (F.col(f"x{k}") - whole[k] * F.col(f"m{k}")) / F.col(f"y{k}")).otherwise(1.0) for k in (0, 1)]
+    contexts = written(contexts.join(words.select(F.col("w").alias("v"), "y0", "y1"), "v").select("v", "y0", "y1", left[0].alias("l0"), left[1].alias("l1")), "contexts")
+    seen = [F.when(F.col(f"x{k}") > 0, (F.col(f"x{k}") - whole[k]) / F.col(f"y{k}")).otherwise(0.0) + F.col(f"l{k}") * F.col(f"p{k}") for k in (0, 1)]
+    full = pairs.select("v", "w", "x0", "x1").join(contexts, "v").join(each.select("w", "p0", "p1"), "w").select(F.lit(PAIR).alias("kind"), _pair_key(F.col("v"), F.col("w")).alias("key"), F.log(seen[1] / seen[0]).alias("ratio"))
+    single = each.where("own").select(F.lit(WORD).alias("kind"), F.col("w").alias("key"), F.log(F.col("p1") / F.col("p0")).alias("ratio"))
+    gaps = contexts.select(F.lit(CONTEXT).alias("kind"), F.col("v").alias("key"), F.log(F.col("l1") / F.col("l0")).alias("ratio"))
+    every = single.unionByName(gaps).unionByName(full).withColumn("ratio", F.col("ratio").cast("float"))
+    return written(every, "ratios"), float(np.log(low[1] / low[0]))
 
 
 class Ratios:
-    """The ratios of some words by their keys, and that of all others."""
-
-    def __init__(self, words: np.ndarray, ratios: np.ndarray, other: float):
-        self.words, at = np.unique(words.view(np.uint64), return_index=True)
-        self.ratios, self.other = ratios[at].astype(np.float32), np.float32(other)
-
-    def __call__(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(words), self.other)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.ratios[at], self.other)
-
-
-def _features(ratios, texts: pa.Array) -> np.ndarray:
-    """(mean ratio, mean of the TOP largest, largest mean over PEAK words) of each text; zeros for one without words.
-    ``ratios``: from keys to ratios, or an array by slot."""
-    words, _, sizes = _batch_words(texts)
+    """Ratios by kind and key, and that of all other words."""
+
+    def __init__(self, kind: np.ndarray, key: np.ndarray, ratio: np.ndarray, other: float):
+        self.tables, self.other = [], np.float32(other)
+        for k in (WORD, CONTEXT, PAIR):
+            keys, at = np.unique(key[kind == k].view(np.uint64), return_index=True)
+            self.tables.append((keys, ratio[kind == k][at].astype(np.float32)))
+
+    def _of(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether known, ratio)."""
+        known, ratios = self.tables[kind]
+        if not len(known):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return known[at] == keys, ratios[at]
+
+    def __call__(self, words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ratio of p(w), ratio of p(w | v)) of each word."""
+        known, single = self._of(WORD, words)
+        single = np.where(known, single, self.other).astype(np.float64)
+        known, gap = self._of(CONTEXT, before)
+        backed_off = single + np.where(known, gap, 0)
+        known, full = self._of(PAIR, pair_keys(before, words))
+        return single, np.where(known, full, backed_off)
+
+
+def _features(ratios: Ratios, texts: pa.Array) -> np.ndarray:
+    """(mean ratio, mean of the TOP largest, largest mean over PEAK words) of each text; zeros for one without words."""
+    words, before, sizes = _batch_words(texts)
     out = np.zeros((len(sizes), 3))
-    r = (ratios(words) if callable(ratios) else ratios[words & np.uint64((1 << WORD_BITS) - 1)]).astype(np.float64)
+    single, full = ratios(words, before)
     ends = np.cumsum(sizes)
     for i in np.nonzero(sizes)[0]:
-        x = r[ends[i] - sizes[i] : ends[i]]
+        x = single[ends[i] - sizes[i] : ends[i]]
         at = np.concatenate([[0.0], np.cumsum(x)])
         top = x if len(x) <= TOP else np.partition(x, len(x) - TOP)[-TOP:]
-        out[i] = at[-1] / len(x), top.mean(), (at[PEAK:] - at[:-PEAK]).max() / PEAK if len(x) > PEAK else at[-1] / len(x)
+        out[i] = full[ends[i] - sizes[i] : ends[i]].mean(), top.mean(), (at[PEAK:] - at[:-PEAK]).max() / PEAK if len(x) > PEAK else at[-1] / len(x)
     return out
 
 
-def _distinct_words(batches):
+def _distinct_keys(batches):
     for batch in slices(batches):
-        each = [np.unique(word_keys(t)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        sizes = list(map(len, each))
-        keys = [pa.array(np.repeat(batch.column(k).to_numpy(), sizes)) for k in _KEYS]
-        yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate([*each, np.zeros(0, np.uint64)]).view(np.int64))], [*_KEYS, "w"])
+        out = []
+        for text in batch.column("text").cast(pa.binary()).to_pylist():
+            words = word_keys(text)
+            before = np.concatenate([np.zeros(1, np.uint64), words[:-1]]) if len(words) else words
+            out.append([np.unique(x) for x in (words, before, pair_keys(before, words))])
+        sizes = [sum(map(len, x)) for x in out]
+        own = [pa.array(np.repeat(batch.column(k).to_numpy(), sizes)) for k in _KEYS]
+        kind = np.concatenate([np.zeros(0, np.int32), *(np.full(len(x), k, np.int32) for each in out for k, x in enumerate(each))])
+        key = np.concatenate([np.zeros(0, np.uint64), *(x for each in out for x in each)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*own, pa.array(kind), pa.array(key)], [*_KEYS, "kind", "key"])
 
 
 _KEYS = ["__tq_k1", "__tq_k2"]
@@ -159,9 +208,9 @@ _KEYS = ["__tq_k1", "__tq_k2"]
 
 def _applied(rows: DataFrame, ratios: DataFrame, other: float, finish, schema) -> DataFrame:
     """``finish(batch, features)`` of all batches of ``rows`` (text, ...), with the table of ratios broadcast or, where it is large, joined."""
-    if ratios.count() <= MOST_WORDS:
+    if ratios.count() <= MOST_ROWS:
         found = ratios.toArrow()
-        shared = rows.sparkSession.sparkContext.broadcast(Ratios(found["w"].to_numpy(), found["ratio"].to_numpy(), other))
+        shared = rows.sparkSession.sparkContext.broadcast(Ratios(*(found[c].to_numpy() for c in ("kind", "key", "ratio")), other))
 
         def apply(batches):
             for batch in slices(batches):
@@ -171,13 +220,13 @@ def _applied(rows: DataFrame, ratios: DataFrame, other: float, finish, schema) -
 
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = rows.withColumns({"__tq_k1": F.xxhash64(text), "__tq_k2": F.xxhash64(F.lit(1), text)})
-    words = keyed.select(*_KEYS, "text").mapInArrow(_distinct_words, "__tq_k1 long, __tq_k2 long, w long").distinct()
-    own = words.join(ratios.hint("shuffle_merge"), "w").groupBy(*_KEYS).agg(F.collect_list(F.struct("w", "ratio")).alias("__tq_own"))
+    keys = keyed.select(*_KEYS, "text").mapInArrow(_distinct_keys, "__tq_k1 long, __tq_k2 long, kind int, key long").distinct()
+    own = keys.join(ratios.hint("shuffle_merge"), ["kind", "key"]).groupBy(*_KEYS).agg(F.collect_list(F.struct("kind", "key", "ratio")).alias("__tq_own"))
 
     def apply_joined(batches):
         for batch in slices(batches):
             own = batch.column("__tq_own").flatten()
-            known = Ratios(own.field("w").to_numpy(zero_copy_only=False), own.field("ratio").to_numpy(zero_copy_only=False), other)
+            known = Ratios(*(own.field(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "ratio")), other)
             yield finish(batch.select(rows_columns), _features(known, batch.column("text")))
 
     rows_columns = rows.columns
@@ -213,22 +262,26 @@ def fold(doc_id):
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, fold, order) of the documents with a label outside the held-out fold. Of contradicting labels the toxic one holds."""
+    """(text, toxic, curve, order) of the documents with a label outside the held-out fold. Of contradicting labels the toxic one holds."""
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("__tq_id"), (F.col("toxic") == 1).cast("int").alias("toxic")).where(fold(F.col("__tq_id")) != HELD_OUT).groupBy("__tq_id").agg(F.max("toxic").alias("toxic"))
     if labels.count() <= MOST_BROADCAST:
         known = F.broadcast(known)
     rows = docs.select(F.col("doc_id").cast("long").alias("__tq_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(known, "__tq_id").select("text", "toxic", fold(F.col("__tq_id")).alias("fold"), F.xxhash64("__tq_id").alias("order"))
+    # The curve takes a share of its fold; what it leaves is counted.
+    order = F.xxhash64("__tq_id")
+    share = F.lit(MOST_CURVE) / F.lit(max(1, known.where(fold(F.col("__tq_id")) == CURVE).count()))
+    curve = (fold(F.col("__tq_id")) == CURVE) & (F.pmod(order, F.lit(1 << 20)) < share * (1 << 20))
+    return rows.join(known, "__tq_id").select("text", "toxic", curve.alias("curve"), order.alias("order"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, float, Curve]:
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, Curve]:
     rows = _labelled(docs, labels)
-    ratios, other = log_ratios(word_counts(rows.where(F.col("fold") != CURVE)), discount)
+    ratios, other = log_ratios(counted(rows.where(~F.col("curve"))))
 
     def measured(batch, x):
         return pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), batch.column("toxic"), batch.column("order")], ["a", "b", "c", "toxic", "order"])
 
-    curve = _applied(rows.where(F.col("fold") == CURVE), ratios, other, measured, "a double, b double, c double, toxic int, order long")
+    curve = _applied(rows.where("curve"), ratios, other, measured, "a double, b double, c double, toxic int, order long")
     found = curve.orderBy("order", "a", "toxic").limit(MOST_CURVE).toArrow()
     x = np.stack([found[c].to_numpy() for c in "abc"], axis=1).reshape(-1, 3)
     return ratios, other, Curve(x, found["toxic"].to_numpy().astype(float))
