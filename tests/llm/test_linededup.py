@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import defaultdict
 
 import pytest
@@ -45,6 +46,35 @@ def test_equals_brute_force(spark, batches, fanout):
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_many_lines_go(spark, monkeypatch):
+    rng = random.Random(6)
+    lines = [f"this is the repeated line number {i}" for i in range(40)]
+    rows = [(d, "\n".join(rng.choices(lines, k=rng.choice([3, 60])) + [f"own line of document {d}"])) for d in (5, 5, 9, 11, 30, 31, 32)] + [(None, lines[0]), (40, None)]
+    rows.append(rows[1])
+    docs = spark.createDataFrame([(d, t, "p", 1, True) for d, t in rows], "doc_id long, text string, h1 string, pos int, line boolean")
+    for most in (0, 5, 64):
+        monkeypatch.setattr(linededup, "MOST_LOOKED_UP", most)
+        got = linededup.dedup_lines(docs).select("doc_id", "__tq_n_lines", "__tq_n_dropped", F.sha2("text", 256)).collect()
+        assert sorted((str(r[0]), *r[1:]) for r in got) == slow(rows)
+
+
+def test_work_grows_with_the_lines(spark):
+    text = "\n".join(f"a line that three documents hold {i}" for i in range(100_000))
+    docs = spark.createDataFrame([(d, text) for d in (1, 2, 3)], "doc_id long, text string")
+    got = {r.doc_id: (r[1], r[2]) for r in linededup.dedup_lines(docs).select("doc_id", "__tq_n_lines", "__tq_n_dropped").collect()}
+    assert got == {1: (100_000, 100_000), 2: (100_000, 100_000), 3: (100_000, 0)}
+
+
+def test_the_anti_join_decides(spark):
+    docs = spark.createDataFrame([(d, A) for d in (1, 2, 3, 4)], "doc_id long, text string")
+    store = linededup.LineRuns(spark, fanout=3)
+    for d in (4, 3, 2, 1):
+        store.add(linededup.line_hashes(docs.where(docs.doc_id == d)))
+    runs = sorted((r.keep, r.fresh) for r in store.rows([p for level in store.levels for p in level]).collect())
+    assert runs == [(1, False), (4, True)]
+    assert [(r.n, r.keep, r.fresh) for r in store.merged().collect()] == [(4, 4, True)]
+
+
 def test_equals_sql(spark):
     same(spark, linededup.op5, linededup.SQL, "/root/testdata/sf0.001")
 

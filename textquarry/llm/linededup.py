@@ -9,7 +9,8 @@ bits wide; a run is a folder of Parquet files, each sorted by hash.
 Two ways to use the store: ``LineRuns.dedup`` takes batch after batch, as a
 crawl delivers them, and drops what any earlier batch held; ``dedup_lines``
 takes a whole corpus, adds it in batches from the largest ids downwards and
-drops frequent lines everywhere but in the largest document that holds them.
+drops frequent lines everywhere but in the largest document that holds them: that of the
+batch which the anti-join found no earlier holder for.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from textquarry.llm.common import BLANKS, ROWS_OF_A_FILE, ascii_lower, shared_dir, table, written
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 3
+#: Different lines of a document that are looked up in an array; where more go, its lines are joined.
+MOST_LOOKED_UP = 64
+#: Rows up to which ids are broadcast.
+MOST_BROADCAST = 500_000
 HASH = ["h1", "h2"]
 
 
@@ -71,8 +76,8 @@ class LineRuns:
         return read.parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
 
     def merged(self, paths: list[str] | None = None) -> DataFrame:
-        """One row for each line of the runs."""
-        return self.rows(paths).groupBy(*HASH).agg(F.sum("n").alias("n"), F.max("keep").alias("keep"), F.max("fresh").alias("fresh"))
+        """One row for each line of the runs; ``keep`` is that of the first batch which held it, null if none of these runs is of that batch."""
+        return self.rows(paths).groupBy(*HASH).agg(F.sum("n").alias("n"), F.max(F.when(F.col("fresh"), F.col("keep"))).alias("keep"), F.max("fresh").alias("fresh"))
 
     def add(self, hashes: DataFrame) -> None:
         """Add a batch's (doc_id, h1, h2) as a run of its own; compact full levels."""
@@ -103,8 +108,18 @@ class LineRuns:
 
 
 def without(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the lines of ``drops`` (doc_id, h1, h2) taken out of ``text``, and n_lines and n_dropped (named __tq_n_lines and __tq_n_dropped)."""
-    gone = drops.groupBy(F.col("doc_id").alias("__tq_id")).agg(F.collect_set(F.struct(*HASH)).alias("__tq_gone"))
+    """``docs`` with the lines of ``drops`` (doc_id, h1, h2) taken out of ``text``, and n_lines and n_dropped (named __tq_n_lines and __tq_n_dropped).
+
+    The work grows with the lines: a document looks its lines up among at most MOST_LOOKED_UP; where it
+    loses more, each line is a row of a join, dealt by line and put together again.
+    """
+    drops = drops.select(F.col("doc_id").alias("__tq_id"), *HASH).distinct()
+    drops = written(drops, "drops")
+    sizes = drops.groupBy("__tq_id").agg(F.count("*").alias("__tq_n"))
+    many = written(sizes.where(F.col("__tq_n") > MOST_LOOKED_UP), "many")
+    no_many = many.isEmpty()
+    few = drops if no_many else drops.join(many, "__tq_id", "left_anti")
+    gone = few.groupBy("__tq_id").agg(F.collect_list(F.struct(*HASH)).alias("__tq_gone"))
     lines = lines_of(F.col("text"))
     each = F.arrays_zip(lines.alias("line"), _hashed(lines, min_chars).alias("h"))
     kept = F.transform(F.filter(each, lambda x: x["h"].isNull() | ~F.array_contains(F.col("__tq_gone"), x["h"])), lambda x: x["line"])
@@ -113,7 +128,23 @@ def without(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) -> Da
     cut = cut.withColumn("__tq_n_lines", F.size(lines).cast("long"))
     cut = cut.withColumn("__tq_n_dropped", F.coalesce(F.col("__tq_n_lines") - F.size("__tq_kept"), F.lit(0)).cast("long"))
     text = F.when(F.col("__tq_gone").isNotNull(), F.array_join("__tq_kept", "\n")).otherwise(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return cut.select(*(text.alias(c) if c == "text" else joined[c] for c in docs.columns), "__tq_n_lines", "__tq_n_dropped")
+    out = cut.select(*(text.alias(c) if c == "text" else joined[c] for c in docs.columns), "__tq_n_lines", "__tq_n_dropped")
+    if no_many:
+        return out
+    # The texts with many lines to drop: cut once for each (doc_id, text), then given to all rows that have it.
+    key = [F.col("doc_id").cast("long").alias("__tq_id"), F.xxhash64("text").alias("__tq_k1"), F.xxhash64(F.lit(1), "text").alias("__tq_k2")]
+    keys = ["__tq_id", "__tq_k1", "__tq_k2"]
+    few_ids = F.broadcast(many) if many.count() <= MOST_BROADCAST else many
+    large = docs.select(*key, "text").join(few_ids, "__tq_id", "left_semi").dropDuplicates(keys)
+    rows = large.select(*keys, F.posexplode(F.arrays_zip(lines.alias("line"), _hashed(lines, min_chars).alias("h"))).alias("pos", "x"))
+    rows = rows.select(*keys, "pos", F.col("x.line").alias("line"), F.col("x.h.h1").alias("h1"), F.col("x.h.h2").alias("h2"))
+    marked = rows.join(drops.withColumn("__tq_drop", F.lit(True)), ["__tq_id", *HASH], "left")
+    stays = F.when(F.col("__tq_drop").isNull(), F.struct("pos", "line"))
+    texts = marked.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(stays)), lambda x: x["line"]), "\n").alias("__tq_text"), F.count("*").alias("__tq_n_lines"), F.count("__tq_drop").alias("__tq_n_dropped"))
+    whole = docs.withColumns({"__tq_id": key[0], "__tq_k1": key[1], "__tq_k2": key[2]}).join(written(texts, "cut"), keys)
+    whole = whole.select(*(F.col("__tq_text").alias(c) if c == "text" else F.col(c) for c in docs.columns), "__tq_n_lines", "__tq_n_dropped")
+    mine = out.join(few_ids, out["doc_id"].cast("long") == few_ids["__tq_id"], "left_anti")
+    return mine.unionByName(whole)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -127,9 +158,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """
     spark = docs.sparkSession
     hashes = line_hashes(docs, min_chars)
-    ends = docs.select(F.min(F.col("doc_id").cast("long")).alias("a"), F.max(F.col("doc_id").cast("long")).alias("b")).first()
-    low, width = (ends.a or 0), max(1, ((ends.b or 0) - (ends.a or 0)) // batches + 1)
-    batch = F.floor((F.col("doc_id").cast("decimal(38,0)") - F.lit(low)) / F.lit(width)).cast("int")
+    # Batches of about as many documents each, however the ids lie.
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)] or [1.0], 1000)).first()[0] or []
+    batch = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in (cuts if batches > 1 else [])), F.lit(0)).cast("int")
     hashes = written(hashes.withColumn("batch", batch), "lines")
     runs = LineRuns(spark, fanout=fanout)
     for k in reversed(range(batches)):
