@@ -3,17 +3,18 @@
 Vectors are cut into two halves and each half is quantised by itself, so K
 centroids a half make K * K cells. For a query both halves are compared with
 their centroids; a heap then walks the pairs of centroids in order of their
-summed nearness until the cells visited hold ``VISIT`` of all vectors. Their entries
+summed nearness until the cells visited hold a certain share of all vectors. Their entries
 are reranked with the exact inner product in double precision.
 
+The share is measured, not set: for ``PROBES`` vectors of the sample that fits the codebooks, the walk
+tells how much has to be visited until the cells of their true nearest vectors of the sample have come; the
+share is what suffices for a recall of ``RECALL`` there. Clustered vectors do with little; random ones, without
+clusters, leave no choice but about half of all entries. visit=1 searches exactly.
+
 Equal vectors form one class that is indexed and compared once; a class
 knows its smallest ids, as many as an answer can hold. The cells of some
 neighbouring first-half centroids make a group; a group is cut into blocks of bounded size, and so are the
 queries, whatever one cell holds. A query visits a group once, with a bit for each of its cells.
-
-``VISIT`` is large since vectors without clusters leave no better choice: on
-51,282 random unit vectors of 64 dimensions a half of the entries gives a recall of 0.96,
-a tenth 0.59. Clustered vectors do with far less; it is a parameter.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.common import table, written
 
-CENTROIDS, VISIT, NEAREST = 64, 0.5, 20
-#: Entries that are visited at least.
-LEAST = 2_000
+NEAREST = 20
+#: Recall that the share visited is chosen for, on so many vectors of the sample.
+RECALL, PROBES = 0.97, 200
+#: Centroids of a half: four times the fourth root of the number of vectors, so that cells grow with its square root, within bounds.
+FEWEST, MOST = 8, 1024
 #: Vectors on which the codebooks are fitted, at most; every vector is indexed.
 SAMPLE, ROUNDS = 20_000, 12
 #: First-half centroids of a group; vectors and queries of a block.
@@ -80,7 +83,7 @@ def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 class Index:
     """Codebooks and the number of entries of each cell."""
 
-    def __init__(self, sample: np.ndarray, k: int = CENTROIDS):
+    def __init__(self, sample: np.ndarray, k: int):
         self.half = sample.shape[1] // 2
         self.first, self.second = codebook(sample[:, : self.half], k), codebook(sample[:, self.half :], k)
         self.counts = np.zeros((len(self.first), len(self.second)), np.int64)
@@ -104,25 +107,53 @@ class Index:
                     heapq.heappush(heap, (-(a[i] + b[j]), i, j))
 
 
-def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, centroids: int = CENTROIDS, visit: float = VISIT, sample: int = SAMPLE, vector_block: int = VECTORS, query_block: int = QUERIES_AT_ONCE) -> DataFrame:
+def centroids_of(n: int) -> int:
+    return int(min(MOST, max(FEWEST, round(4 * n**0.25))))
+
+
+def needed_share(index: Index, sample: np.ndarray, nearest: int, recall: float = RECALL, probes: int = PROBES) -> float:
+    """The share of all entries to visit for ``recall`` of the ``nearest`` in the sample, asked by rows spread over it."""
+    asking = np.unique(np.linspace(0, len(sample) - 1, min(probes, len(sample))).astype(np.int64))
+    i, j = index.cells(sample)
+    needed, total = [], max(1, int(index.counts.sum()))
+    for row in asking:
+        score = sample @ sample[row]
+        score[row] = -np.inf
+        best = np.argsort(-score, kind="stable")[: min(nearest, len(sample) - 1)]
+        reached, held = np.full(index.counts.shape, total), 0
+        for a, b in index.walk(sample[row], total):
+            held += int(index.counts[a, b])
+            reached[a, b] = held
+        needed.append(reached[i[best], j[best]])
+    needed = np.sort(np.concatenate(needed)) if needed else np.zeros(0)
+    return float(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))] / total) if len(needed) else 1.0
+
+
+def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, centroids: int | None = None, visit: float | None = None, sample: int = SAMPLE, vector_block: int = VECTORS, query_block: int = QUERIES_AT_ONCE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` (vec_id, embedding) the nearest rows of
     ``vectors`` but for those of its own vec_id, largest inner product first, ties to the smaller vec_id.
 
+    ``centroids`` of a half and the share of entries to ``visit`` follow from the vectors unless given.
     Vectors null, zero, of another length than most or with null or non-finite
     components take no part on either side, nor do null ids. Repeated rows
-    count once; ids with several vectors take part with each and answer for
-    each as a query. Fewer than ``nearest`` rows come where there are fewer
+    count once; ids with several vectors take part with each: as a query such an id has one answer, in which each
+    other id stands once, with the largest product of any of their vectors. Fewer than ``nearest`` rows come where there are fewer
     candidates. Empty tables give an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = written(valid(vectors), "valid")
-    every = written(classes(rows, nearest + 1), "classes")
+    asking = written(valid(queries), "asking")
+    # Entries of an answer before the query's own id is taken out, however many vectors that has.
+    own = rows.join(asking.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", *KEY).distinct().groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+    several = own > 1 or asking.select("vec_id", *KEY).distinct().groupBy("vec_id").count().where("count > 1").count() > 0
+    most = nearest + own
+    every = written(classes(rows, most), "classes")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fit = every.orderBy(F.xxhash64(*KEY, F.lit(7)), *KEY).limit(sample).select("embedding").toArrow()
     x = _matrix(fit["embedding"])
     if not len(x):
         return empty
-    index = Index(x, centroids)
+    index = Index(x, centroids or centroids_of(every.count()))
     shared = spark.sparkContext.broadcast(index)
     k2 = len(index.second)
 
@@ -138,12 +169,12 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, centr
     groups = math.ceil(len(index.first) / WIDE)
     held = [int(index.counts[g * WIDE : (g + 1) * WIDE].sum()) for g in range(groups)]
     blocks = [max(1, math.ceil(n / vector_block)) for n in held]
-    asking = valid(queries)
     asked = asking.select(*KEY).distinct().join(every.select(*KEY, "embedding"), KEY)
     foreign = asking.join(every.select(*KEY), KEY, "left_anti").groupBy(*KEY).agg(F.first("embedding").alias("embedding"))
     asked = written(asked.unionByName(foreign), "asked")
     query_blocks = max(1, math.ceil(asked.count() / query_block))
-    shared_index = spark.sparkContext.broadcast((index, blocks, max(math.ceil(visit * total), min(total, LEAST))))
+    share = needed_share(index, x, nearest) if visit is None else visit
+    shared_index = spark.sparkContext.broadcast((index, blocks, min(total, max(math.ceil(share * total), most))))
 
     def visiting(batches):
         index, blocks, wanted = shared_index.value
@@ -163,7 +194,6 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, centr
     asks = asked.mapInArrow(visiting, f"h1 long, h2 long, embedding {kind}, g int, b int, cells binary").withColumn("p", F.pmod(F.xxhash64(*KEY, F.lit(3)), F.lit(query_blocks)).cast("int"))
     per_group = F.element_at(F.array(*map(F.lit, blocks)), F.col("g") + 1)
     entries = placed.withColumn("b", F.pmod(F.xxhash64(*KEY, F.lit(5)), per_group).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).drop("whole")
-    most = nearest + 1
 
     def reranked(_, ours: pa.Table, theirs: pa.Table) -> pa.Table:
         q, x = _matrix(ours["embedding"]), _matrix(theirs["embedding"])
@@ -199,6 +229,11 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, centr
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most)
     answers = found.groupBy(*KEY).agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("members", lambda m: F.struct((-F.col("score")).alias("s"), m.alias("v")))))), 1, most).alias("answers"))
     out = asking.select(*KEY, F.col("vec_id").alias("query_id")).distinct().join(answers, KEY)
+    if several:
+        # Ids with several vectors: one answer for each id, each other id once.
+        each = out.select("query_id", F.explode("answers").alias("a")).where(F.col("a.v") != F.col("query_id")).groupBy("query_id", F.col("a.v").alias("vec_id")).agg(F.min("a.s").alias("s"))
+        each = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("s", "vec_id"))).where(F.col("rank") <= nearest)
+        return each.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", (-F.col("s")).alias("score"))
     others = F.slice(F.filter("answers", lambda a: a["v"] != F.col("query_id")), 1, nearest)
     return out.select("query_id", F.posexplode(others).alias("at", "a")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("a.v").alias("vec_id"), (-F.col("a.s")).alias("score"))
 
