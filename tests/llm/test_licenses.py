@@ -13,14 +13,23 @@ def words_of(text):
 
 
 def slow_blocks(words, threshold=licenses.THRESHOLD):
-    """label -> the words covered by blocks that meet one of its templates, by trying every block."""
+    """(label, word) for what is covered by blocks that meet a template of the label: of the blocks that end at a
+    word and are at most SPREAD times as long as the template, the shortest with the most template words."""
     out = set()
     for label, text in licenses.TEMPLATES:
         own = words_of(text)
-        for start in range(len(words)):
-            block = set(words[start : start + len(own)])
-            if len(block & set(own)) >= math.ceil(threshold * len(set(own)) - 1e-9):
-                out |= {(label, i) for i in range(start, min(start + len(own), len(words)))}
+        width, own = len(own) * licenses.SPREAD, set(own)
+        needed = math.ceil(threshold * len(own) - 1e-9)
+        for end in range(len(words)):
+            if words[end] in own:
+                seen, best = set(), (0, end)
+                for start in range(end, max(-1, end - width), -1):
+                    if words[start] in own:
+                        seen.add(words[start])
+                    if len(seen) > best[0]:
+                        best = len(seen), start
+                if best[0] >= needed:
+                    out |= {(label, i) for i in range(best[1], end + 1)}
     return out
 
 
@@ -45,7 +54,7 @@ def want(rows):
 
 def texts():
     rng = random.Random(4)
-    out = [None, "", "CC-BY", "cc by by cc  BY", "all rights\nreserved ALL RIGHTS RESERVED", "général public license general public license.", "x" * 100_000, "cc by " * 3000]
+    out = [None, "", "CC-BY", "cc by by cc  BY", "all rights\nreserved ALL RIGHTS RESERVED", "général public license general public license.", "x" * 100_000, "cc by " * 3000, *STREWN]
     filler = "the a of under word license version this é 2 0".split()
     for _ in range(80):
         own = words_of(rng.choice(licenses.TEMPLATES)[1])
@@ -53,10 +62,27 @@ def texts():
             own[rng.randrange(len(own))] = "other"
         if rng.random() < 0.3:
             rng.shuffle(own)
+        own = [w for x in own for w in ([x, rng.choice(filler)] if rng.random() < 0.2 else [x])]
         out.append(" ".join(rng.choices(filler, k=rng.choice([0, 5, 40])) + own + rng.choices(filler, k=rng.choice([0, 5]))))
     return out
 
 
+MIT = licenses.TEMPLATES[3][1].split()
+STREWN = [
+    " ".join(w for i, word in enumerate(MIT) for w in ([word, "filler"] if i % 2 == 0 and i < 16 else [word])),
+    "licensed under the terms of the apache software license version 2 0",
+    "released under the terms of the MIT license",
+]
+
+
+def test_words_strewn_in_hide_nothing():
+    every = licenses.Templates(licenses.TEMPLATES, {}, licenses.THRESHOLD)
+    for text, label in zip(STREWN, ("mit", "apache-2.0", "mit")):
+        found = {x: c for x, _, _, c in every.met([w.encode() for w in words_of(text)])}
+        assert found[label] >= licenses.THRESHOLD
+    assert {x: c for x, _, _, c in every.met([w.encode() for w in words_of(STREWN[0])])}["mit"] == 1.0
+
+
 def results(df):
     return sorted((str(r.doc_id), r.n_words, r.n_base, str(r.first_word), str(r.last_word), r.base_labels, r.labels) for r in df.collect())
 

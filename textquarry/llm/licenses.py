@@ -1,15 +1,15 @@
 r"""License scans by exact set-similarity join.
 
-Templates are license notices; a text block is any run of as many consecutive
-words as the template has. A block meets a template if it holds at least
+Templates are license notices; a text block is any run of at most ``SPREAD`` times as many consecutive
+words as the template has, so that words strewn in do not hide it. A block meets a template if it holds at least
 ``THRESHOLD`` of the template's distinct words (containment). Of all words of all
 templates the number of occurrences in the whole corpus is counted first; a
 template's words are ordered from rare to frequent, and by the prefix filter
 a block that misses all of its first (n - needed + 1) words cannot meet it, so
-only the places of these rarest words are looked at. The length filter leaves out texts of
-fewer words than are needed, the positional filter gives up on a block once the words
-left in the order cannot make up what is missing. Whatever passes is counted
-exactly, so every block that meets the threshold is found.
+only what lies within a block's length of these rarest words is looked at. The length filter leaves out texts of
+fewer words than are needed and blocks of more than SPREAD times the template's; the positional filter leaves out
+stretches whose template words are too few. In what passes two pointers move over the places of template words
+and count exactly, so every block that meets the threshold is found.
 
 The templates are a parameter whose size does not grow with the corpus; they
 and their counts go to every task.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.common import slices, table
 
-THRESHOLD = 0.8
+THRESHOLD, SPREAD = 0.8, 2
 #: Phrases and labels of the contract.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Notices by label (fixed values: the public texts of these licenses).
@@ -59,8 +59,8 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Templates:
     """Templates whose words are ordered by their number in the corpus."""
 
-    def __init__(self, templates, counts: dict[bytes, int], threshold: float):
-        self.threshold = threshold
+    def __init__(self, templates, counts: dict[bytes, int], threshold: float, spread: int = SPREAD):
+        self.spread = spread
         self.each = []
         for label, text in templates:
             words = words_of(text.encode())
@@ -84,32 +84,55 @@ class Templates:
         for label, size, order, needed, prefix in self.each:
             if len(words) < needed or here.isdisjoint(prefix):
                 continue
-            found: dict[int, int] = {}
-            for at in sorted({i for w in prefix for i in places[w]}):
-                for start in range(max(0, at - size + 1), at + 1):
-                    if start not in found:
-                        found[start] = self._overlap(places, order, needed, start, start + size)
-            own = len(out)
-            hits = sorted((start, n) for start, n in found.items() if n >= needed)
-            for start, n in hits:
-                end = min(start + size, len(words)) - 1
-                if len(out) > own and start <= out[-1][2]:
-                    out[-1] = (label, out[-1][1], max(out[-1][2], end), max(out[-1][3], n / len(order)))
-                else:
-                    out.append((label, start, end, n / len(order)))
+            width, own = size * self.spread, len(out)
+            rare = sorted(i for w in prefix for i in places[w])
+            every = sorted((i, w) for w in order for i in places[w])
+            for a, b in self._stretches(rare, width - 1):
+                near = every[bisect_left(every, (a,)) : bisect_left(every, (b + 1,))]
+                if len({w for _, w in near}) < needed:
+                    continue
+                for start, end, n in self._blocks(near, needed, width):
+                    if len(out) > own and start <= out[-1][2]:
+                        out[-1] = (label, out[-1][1], max(out[-1][2], end), max(out[-1][3], n / len(order)))
+                    else:
+                        out.append((label, start, end, n / len(order)))
         return out
 
     @staticmethod
-    def _overlap(places, order, needed, start, end) -> int:
-        """Distinct template words in [start, end), or less than ``needed`` if that cannot be reached."""
-        n = 0
-        for k, w in enumerate(order):
-            at = places[w]
-            i = bisect_left(at, start)
-            n += i < len(at) and at[i] < end
-            if n + len(order) - k - 1 < needed:
-                return 0
-        return n
+    def _stretches(places: list[int], reach: int):
+        """(first, last) of the runs of words within ``reach`` of ``places``, in order and apart from each other."""
+        first = last = None
+        for i in places:
+            if first is None:
+                first, last = i - reach, i + reach
+            elif i - reach <= last + 1:
+                last = i + reach
+            else:
+                yield first, last
+                first, last = i - reach, i + reach
+        if first is not None:
+            yield first, last
+
+    @staticmethod
+    def _blocks(near: list[tuple[int, bytes]], needed: int, width: int):
+        """(first word, last word, distinct template words) of the blocks that end at each template word and hold
+        ``needed`` different ones: as long as they may be, without what adds nothing in front."""
+        held: Counter = Counter()
+        left = 0
+        for right, (end, word) in enumerate(near):
+            held[word] += 1
+            while near[left][0] <= end - width:
+                held[near[left][1]] -= 1
+                if not held[near[left][1]]:
+                    del held[near[left][1]]
+                left += 1
+            if len(held) >= needed:
+                # The shortest block with as many different words.
+                again, start = Counter(held), left
+                while again[near[start][1]] > 1:
+                    again[near[start][1]] -= 1
+                    start += 1
+                yield near[start][0], end, len(held)
 
 
 def phrases_in(words: list[bytes], base=BASE) -> list[tuple[int, str]]:
