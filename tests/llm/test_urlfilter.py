@@ -46,7 +46,7 @@ def slow(pages):
     counts = Counter()
     for _, _, html in pages:
         text = re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ", (html or "").lower())
-        counts.update(re.findall("[a-z]{1,24}", text))
+        counts.update(w for w in re.findall("[a-z]+", text) if len(w) <= 24)
     total = max(1, sum(counts.values()))
     urls = {}
     for _, url, _ in pages:

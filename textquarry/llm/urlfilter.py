@@ -50,10 +50,10 @@ def ruled(urls: DataFrame, rules=RULES) -> DataFrame:
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """(word, n): the lower-case a-z words of all pages' text, without what stands in tags, scripts and styles."""
+    """(word, n): the a-z words of at most LONGEST_WORD letters, lower-cased, of all pages' text, without what stands in tags, scripts and styles."""
     text = F.regexp_replace(F.lower(F.coalesce(F.col("html").cast("string"), F.lit(""))), r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
-    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(f"[a-z]{{1,{LONGEST_WORD}}}"), F.lit(0))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n"))
+    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return words.where(F.octet_length("word") <= LONGEST_WORD).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def split(name: str, counts: dict[str, int], total: int) -> list[str]:
@@ -97,7 +97,8 @@ def tokens(urls: DataFrame, words: DataFrame) -> DataFrame:
     pieces = F.array_remove(F.split("host", "[^a-z]+", -1), "")
     hosts = written(urls.select("host").distinct().select("host", F.explode(pieces).alias("name")), "hosts")
     named = hosts.join(segmented(hosts.select("name").distinct(), words), "name")
-    per_host = named.groupBy("host").agg(F.flatten(F.collect_list("words")).alias("words"))
+    # Written first: a hot host's urls then meet a plain table, which is broadcast where it is small and split where it is not.
+    per_host = written(named.groupBy("host").agg(F.flatten(F.collect_list("words")).alias("words")), "words_of_hosts")
     path = F.transform(F.array_remove(F.split(F.lower("path"), r"[^\p{L}\p{Nd}]+", -1), ""), lambda t: F.concat(F.lit("p:"), F.regexp_replace(t, r"\p{Nd}+", "#")))
     host = F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda t: F.concat(F.lit("h:"), t))
     return urls.join(per_host, "host", "left").select("url", F.explode(F.concat(host, path)).alias("token"))
@@ -112,7 +113,7 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = parts(F.col("url"))
     urls = pages.select(F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")).distinct().select("url", host.alias("host"), path.alias("path"))
     urls = written(ruled(urls, rules), "urls")
-    each = written(tokens(urls, word_counts(pages)), "tokens")
+    each = written(tokens(urls, written(word_counts(pages), "word_counts")), "tokens")
     seen = {r.action: r.n for r in urls.groupBy("action").agg(F.count("*").alias("n")).collect()}
     if not seen.get("allow") or not seen.get("block"):
         return urls.select("url", "host", "path", "rule", F.coalesce("action", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
