@@ -125,3 +125,12 @@ def test_real_rows_equal_brute_force(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = decontam.op3(spark, sf).collect()
     assert sorted((str(r.doc_id), r.item_id, r.n_windows, r.n_found, round(r.coverage, 9), r.reparameterised) for r in got) == slow(docs, items)
+
+
+def test_work_grows_with_the_text(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(5000)]
+    long = " ".join(rng.choices(words, k=300_000))
+    docs = spark.createDataFrame([(1, f"{long} {ITEMS[1][1]} {long}"), (2, long)], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()] == [(1, 2)]

@@ -16,7 +16,7 @@ without any other, or of fewer tokens than a window, is looked for by its exact
 
 Only built-in functions run here. Equal texts are scanned once. The item windows are broadcast if there are
 at most ``MOST_BROADCAST`` of them, else joined by shuffle. An item is first told by which of its windows a
-text holds at all; places are compared for what passes only.
+text holds at all; places are filled and compared for what passes only.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def _slot(code: Column) -> Column:
 
 
 def _hashes(code: Column, size: int) -> Column:
-    """The hash of each window of ``size`` codes, in order."""
+    """The hash of each window of ``size`` codes, in order. ``code`` is a column that is there: an expression would be computed for each window."""
     each = F.transform(F.sequence(F.lit(0), F.size(code) - size), lambda i: F.xxhash64(*(F.get(code, i + k) for k in range(size))))
     return F.when(F.size(code) >= size, each).otherwise(F.array().cast("array<bigint>"))
 
@@ -123,21 +123,28 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LIT
     return literal.unionByName(typed).unionByName(whole).distinct()
 
 
-def _scanned(texts: DataFrame, side: DataFrame, sizes: list[int], window: int, late: bool) -> DataFrame:
-    """(k1, k2, w, pos, theirs): where a text holds an item's window, and its tokens there."""
-    coded = _coded(texts).select(*KEY, "tok", "lit", "typ")
+def _scanned(texts: DataFrame, keys: DataFrame, sizes: list[int], window: int) -> DataFrame:
+    """(k1, k2, w, pos, size): where a text holds an item's window. No row but the text's own carries its tokens."""
+    coded = _coded(texts)
     typed = F.when(F.col("typ").isNotNull(), _hashes(F.col("typ"), window)).otherwise(F.array().cast("array<bigint>"))
-    hashes = coded.select(*KEY, "tok", F.concat(_hashes(F.col("lit"), window), typed).alias("hashes"))
-    n = F.greatest(F.size("tok") - (window - 1), F.lit(1))
-    rows = hashes.select(*KEY, "tok", F.posexplode("hashes").alias("i", "w")).withColumns({"pos": F.pmod("i", n), "size": F.lit(window)})
+    # The number of places is a column of its own below the generator: computed beside it, it would carry the tokens into every row.
+    placed = coded.select(*KEY, "lit", "typ", F.greatest(F.size("tok") - (window - 1), F.lit(1)).alias("n"))
+    rows = placed.select(*KEY, "n", F.posexplode(F.concat(_hashes(F.col("lit"), window), typed)).alias("i", "w"))
+    rows = rows.select(*KEY, "w", F.pmod("i", "n").alias("pos"), F.lit(window).alias("size"))
     # Windows of exact tokens, of each size that an item asks for.
+    whole = coded.select(*KEY, F.explode(F.array(exact_codes(F.col("tok")))).alias("exact"))
     for size in sizes:
-        exact = coded.select(*KEY, "tok", F.posexplode(_hashes(exact_codes(F.col("tok")), size)).alias("pos", "w")).withColumn("size", F.lit(size))
-        rows = rows.select(*KEY, "tok", "pos", "w", "size").unionByName(exact)
-    theirs = F.transform(F.slice("tok", F.col("pos") + 1, F.col("size")), _word)
-    if late:
-        return rows.join(F.broadcast(side), "w", "left_semi").select(*KEY, "w", "pos", theirs.alias("theirs"))
-    return rows.select(*KEY, "w", "pos", theirs.alias("theirs")).join(side, "w", "left_semi")
+        exact = whole.select(*KEY, F.posexplode(_hashes(F.col("exact"), size)).alias("pos", "w"))
+        rows = rows.unionByName(exact.select(*KEY, "w", "pos", F.lit(size).alias("size")))
+    return rows.join(_few(keys), "w", "left_semi").select(*KEY, "w", "pos", "size")
+
+
+def _filled(texts: DataFrame, met: DataFrame) -> DataFrame:
+    """``met`` (k1, k2, w, pos, size) with ``theirs``, the tokens there: each of these texts is cut once more, for all of its places."""
+    places = written(met.groupBy(*KEY).agg(F.collect_set(F.struct("w", "pos", "size")).alias("places")), "places")
+    tok = texts.join(_few(places), KEY).select(*KEY, "places", F.explode(F.array(tokens(F.col("text")))).alias("tok"))
+    own = F.transform("places", lambda x: F.struct(x["w"].alias("w"), x["pos"].alias("pos"), F.transform(F.slice("tok", x["pos"] + 1, x["size"]), _word).alias("theirs")))
+    return tok.select(*KEY, F.explode(own).alias("x")).select(*KEY, "x.*")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -161,19 +168,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     sizes = sorted(r["size"] for r in items.where("exact").select("size").distinct().collect())  # at most ``window`` of them
     side = items.select("item_id", F.col("pos").alias("at"), "w", F.col("slots").alias("own"), "kinds")
     keys = side.select("w").distinct()
-    late = keys.count() <= MOST_BROADCAST
 
     # One row of each text: of copies, that with the smallest doc_id.
     keyed = _keyed(docs)
     copies = written(keyed.groupBy(*KEY).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select(*KEY, "least"), "copies")
     texts = keyed.join(_few(copies), KEY, "left").where("least is null or doc_id = least").select(*KEY, "text")
-    met = written(_scanned(texts, keys, sizes, window, late), "met")
+    met = written(_scanned(texts, keys, sizes, window), "met")
 
     # What a text holds of an item at all; then, for items held well enough, on which diagonals.
     held = met.select(*KEY, "w").distinct().join(_few(side.select("w", "item_id", "at").distinct()), "w").groupBy(*KEY, "item_id").agg(F.count_distinct("at").alias("n_held"))
     held = written(held.join(_few(totals), "item_id").where(F.col("n_held") >= coverage * F.col("n_windows")).select(*KEY, "item_id", "n_windows"), "held")
-    per_text = met.distinct().join(_few(held), KEY).join(_few(side), ["item_id", "w"])
-    per_text = written(per_text.select(*KEY, "item_id", "at", (F.col("pos") - F.col("at")).alias("diagonal"), "theirs", "own", "kinds"), "places")
+    good = met.join(_few(held.select(*KEY).distinct()), KEY, "left_semi")
+    per_text = _filled(texts, good).distinct().join(_few(held), KEY).join(_few(side), ["item_id", "w"])
+    per_text = written(per_text.select(*KEY, "item_id", "at", (F.col("pos") - F.col("at")).alias("diagonal"), "theirs", "own", "kinds"), "diagonals")
     # Slot consistency: on a diagonal, what the item fills alike the document fills alike.
     pairs = per_text.where("exists(kinds, c -> c is not null)").select(*KEY, "item_id", "diagonal", F.explode(F.arrays_zip(F.col("kinds").alias("kind"), F.col("own").alias("mine"), "theirs")).alias("s"))
     pairs = pairs.where("s.kind is not null").groupBy(*KEY, "item_id", "diagonal", "s.kind", "s.mine").agg(F.count_distinct("s.theirs").alias("n"), F.max((F.col("s.mine") != F.col("s.theirs")).cast("int")).alias("other"))
