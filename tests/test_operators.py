@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import shutil
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -15,7 +16,7 @@ from textquarry.functions.running import running
 from textquarry.operators import audit, instruction, scoring, splits, subwords, verify, windows
 from textquarry.operators.subwords import Vocabulary
 from textquarry.__main__ import main
-from textquarry.plans import clean, config, prepare
+from textquarry.plans import clean, config, evaluate, prepare
 from textquarry.sources import files, sinks
 from textquarry.streaming import split as streaming
 
@@ -261,6 +262,20 @@ def test_prepare_and_verify(spark, tmp_path, by_family):
     with pytest.raises(ValueError):
         files.read_fixed_windows(spark, f"{out}/fixed.json", "validation", 8, n)
     manifest = files.read_manifest(spark, f"{out}/manifest.json")
+    assert files.read_fixed_windows(spark, f"{out}/fixed.json", "test", 8, n, manifest).count() == 5
+    with pytest.raises(ValueError, match="stale"):
+        files.read_fixed_windows(spark, f"{out}/fixed.json", "test", 8, n, manifest | {"source": {}})
+    assert set(manifest["isolation"]["shared_documents"].values()) == {0}
+    # A moved folder stays whole; a changed token file, source or special token is seen.
+    shutil.move(out, out := str(tmp_path / "moved"))
+    prepare.verify_dataset(spark, str(source), out, families)
+    changed = spark.read.parquet(f"{out}/tokens").withColumn("tokens", F.when(F.col("doc_id") == 3, F.concat(F.array(F.lit(1)), F.slice("tokens", F.lit(2), F.size("tokens")))).otherwise(F.col("tokens")))
+    sinks.write_tokens(changed, f"{out}/changed")
+    other = {s: v | {"path": v["path"].replace("tokens/", "changed/")} for s, v in manifest["splits"].items()}
+    sinks.write_json(f"{out}/manifest.json", manifest | {"splits": other, "source": manifest["source"] | {"sharded_hash": "0", "content_hash": "0"}})
+    with pytest.raises(verify.VerificationError, match="SHA-256") as e:
+        prepare.verify_dataset(spark, str(source), out, families)
+    assert {c for c, _ in e.value.failures} == {"token stream", "token SHA-256", "source SHA-256"}
     split = done.split
     wrong = done.tokens.withColumn("tokens", F.when(F.col("doc_id") == 7, F.reverse("tokens")).otherwise(F.col("tokens")))
     with pytest.raises(verify.VerificationError) as e:
@@ -273,6 +288,31 @@ def test_prepare_and_verify(spark, tmp_path, by_family):
     assert {c for c, _ in e.value.failures} == {"document counts", "tokenizer sample"}
 
 
+def test_behavioral_evaluation(spark, tmp_path):
+    item = {"topic_terms": ["pump"], "question_requirements": ["because"], "expected_key_facts": [{"fact": "pressure", "aliases": ["3000 psi"]}], "acceptable_concepts": ["x"], "important_incorrect_concepts": ["y"], "forbidden_claims": ["never"]}
+    items = [item | {"id": f"q{k}", "category": c, "question": f"about {c}?"} for k, c in enumerate(fixed.BEHAVIORAL_CATEGORIES)]
+    (tmp_path / "b.json").write_text(json.dumps({"format": fixed.BEHAVIORAL_FORMAT, "questions": items}))
+    (tmp_path / "a.json").write_text("\n".join(json.dumps({"id": f"q{k}", "answer": t}) for k, t in enumerate(["The pump gives 3000 PSI because of it.", " Never. "])))
+    found = evaluate.evaluate(spark, str(tmp_path / "b.json"), str(tmp_path / "a.json"), str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text()) == found
+    each = {r["id"]: r for r in found["behavioral"]["results"]}
+    assert found["behavioral"]["question_count"] == len(items) == len(each)
+    assert each["q0"]["automatic"]["completeness"] == 1.0 and each["q1"]["automatic"]["forbidden_claims_found"] == ["never"]
+    assert each["q2"]["answer"] == "" and "overall" not in each["q2"]["automatic"]
+    assert found["behavioral"]["summary_by_dimension"]["completeness"] == {"mean": 1 / len(items), "count": len(items)}
+    (tmp_path / "c.json").write_text(json.dumps({"format": fixed.BEHAVIORAL_FORMAT, "questions": items[1:]}))
+    with pytest.raises(ValueError, match="missing category"):
+        evaluate.read_benchmark(spark, str(tmp_path / "c.json"))
+
+
+def test_random_batches(spark):
+    rows = spark.range(10).select(F.col("id").alias("number"), (F.col("id") * 2).alias("x"))
+    one, again, other = (sorted(map(tuple, instruction.random_batch(rows, 50, 7, s).collect()), key=lambda r: r[2]) for s in (0, 0, 1))
+    assert one == again != other and [r[2] for r in one] == list(range(50)) and all(r[1] == 2 * r[0] for r in one)
+    with pytest.raises(ValueError):
+        instruction.random_batch(rows.limit(0), 5, 1)
+
+
 def test_clean_corpus(spark, tmp_path):
     (tmp_path / "in.txt").write_text("\n\n".join(corpus()))
     report = clean.clean_corpus(spark, str(tmp_path / "in.txt"), str(tmp_path / "out"))

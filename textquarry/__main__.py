@@ -1,4 +1,4 @@
-"""python -m textquarry clean | prepare | verify | windows | instruct: whole runs from the command line."""
+"""python -m textquarry clean | prepare | verify | windows | instruct | evaluate: whole runs from the command line."""
 
 from __future__ import annotations
 
@@ -9,14 +9,14 @@ from pyspark.sql import SparkSession
 
 from textquarry.functions import fixed
 from textquarry.operators.verify import VerificationError
-from textquarry.plans import clean, prepare
+from textquarry.plans import clean, evaluate, prepare
 from textquarry.sources import files, sinks
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="textquarry")
     run = out.add_subparsers(dest="run", required=True)
-    for name, about in (("clean", "audit a corpus and write it without template duplicates"), ("prepare", "split, learn a vocabulary and tokenize"), ("verify", "make a prepared dataset again and compare"), ("windows", "write fixed evaluation windows"), ("instruct", "split instruction examples")):
+    for name, about in (("clean", "audit a corpus and write it without template duplicates"), ("prepare", "split, learn a vocabulary and tokenize"), ("verify", "make a prepared dataset again and compare"), ("windows", "write fixed evaluation windows"), ("instruct", "split instruction examples"), ("evaluate", "score answers to a behavioural benchmark")):
         sub = run.add_parser(name, help=about)
         if name != "windows":
             sub.add_argument("--source", required=True)
@@ -34,6 +34,8 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--split", choices=("validation", "test"), required=True)
             sub.add_argument("--context", type=int, default=1024)
             sub.add_argument("--windows", type=int, default=256)
+        if name == "evaluate":
+            sub.add_argument("--answers", required=True, help="JSON lines of id and answer")
         if name == "instruct":
             sub.add_argument("--tokenizer", required=True)
             sub.add_argument("--validation-ratio", type=float, default=fixed.INSTRUCTION_VALIDATION_RATIO)
@@ -60,6 +62,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.run == "windows":
         found = prepare.fixed_windows(spark, files.read_manifest(spark, f"{args.out}/manifest.json"), args.split, args.context, args.windows)
         sinks.write_json(f"{args.out}/{args.split}_windows.json", found)
+    elif args.run == "evaluate":
+        print(evaluate.evaluate(spark, args.source, args.answers, args.out)["behavioral"]["summary_by_dimension"])
     else:
         prepare.prepare_instructions(spark, args.source, files.read_vocabulary(spark, args.tokenizer), args.out, args.seed, args.validation_ratio)
     return 0

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,9 +18,38 @@ from textquarry.functions import fixed
 _BLANK = r"(?U)[\s\x1c-\x1f]"
 
 
+@lru_cache(maxsize=1)
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Of lower-case letters that Unicode case folding changes: those that become one letter, and those that become several."""
+    every = (c for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000)
+    changed = {c: c.casefold() for c in every if c.lower() == c and c.casefold() != c}
+    return {c: f for c, f in changed.items() if len(f) == 1}, {c: f for c, f in changed.items() if len(f) > 1}
+
+
+def _class(letters: Iterable[str]) -> str:
+    """A pattern for one of ``letters``, by ranges."""
+    points, out = sorted(map(ord, letters)), []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]"
+
+
 def folded(text: Column) -> Column:
-    """Case-folded: lower-cased, with the two letters that folding treats otherwise."""
-    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Case-folded as Unicode has it: lower-cased, then the letters that folding treats otherwise. Of
+    these all but two are rare, and only texts that hold one go through their list."""
+    common = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    one, several = _folds()
+
+    def fold(t: Column) -> Column:
+        out = F.translate(t, "".join(one), "".join(one.values()))
+        for letter, folds in several.items():
+            out = F.replace(out, F.lit(letter), F.lit(folds))
+        return F.when(t.rlike(_class({*one, *several} - {"ß", "ς"})), out).otherwise(t)
+
+    return let(common, fold)
 
 
 def squeezed(text: Column) -> Column:

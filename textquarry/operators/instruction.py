@@ -64,6 +64,15 @@ def numbered(examples: DataFrame, order: str) -> DataFrame:
     return running(examples.withColumn("__one", F.lit(1)), order, "__one", "number").drop("__one")
 
 
+def random_batch(examples: DataFrame, size: int, seed: int, step: int = 0) -> DataFrame:
+    """``size`` rows of ``examples`` (number, ...; numbers from 0 without gaps) with place, drawn with replacement: the same for the same seed and step."""
+    n = examples.count()
+    if not n or size < 1:
+        raise ValueError("a batch has one example at least")
+    drawn = examples.sparkSession.range(size).select(F.col("id").alias("place"), F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "id"), F.lit(n)).alias("number"))
+    return examples.join(F.broadcast(drawn), "number").select(*examples.columns, "place") if size <= 100_000 else examples.join(drawn, "number").select(*examples.columns, "place")
+
+
 def padded(examples: DataFrame, batch: int) -> DataFrame:
     """``examples`` (number, input_ids, labels, ...) with batch and both arrays padded to the batch's longest."""
     if batch < 1:

@@ -148,9 +148,27 @@ def low_information(spark, sf_dir):
     return audit.low_information(documents(spark, sf_dir))
 
 
-@query("near_duplicate_pairs", f"WITH {_MARKED}, {_CLASSES}, {_SHINGLES}, {_PAIRS} SELECT left_id, right_id, n_left, n_right, c / u AS jaccard FROM pairs")
+# Two records of each document, alike but for a number, whose template and topic are the same: the longer they are the more alike.
+_VARIANTS = r"v AS (SELECT doc_id * 2 + j AS doc_id, array_to_string(w[1:10], ' ') || ' ' || (40 + j) || ' ' || array_to_string(w[11:], ' ') AS text FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), ' ')[1:20 + doc_id % 80] AS w FROM documents), (VALUES (0), (1)) t(j) WHERE len(w) >= 12)"
+
+
+def _variants(spark, sf_dir):
+    w = F.slice(text.words(text.squeezed(F.col("text"))), F.lit(1), (20 + F.col("doc_id") % 80).cast("int"))
+    rows = documents(spark, sf_dir).select("doc_id", w.alias("w")).where(F.size("w") >= 12).withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
+    joined = lambda a: F.array_join(F.slice("w", F.lit(a), F.lit(10) if a == 1 else F.size("w")), " ")
+    return rows.select((F.col("doc_id") * 2 + F.col("j")).alias("doc_id"), F.concat_ws(" ", joined(1), (40 + F.col("j")).cast("string"), joined(11)).alias("text"))
+
+
+@query("near_duplicate_pairs", f"WITH {_VARIANTS}, {_MARKED.replace('FROM documents', 'FROM v')}, {_CLASSES}, {_SHINGLES}, {_PAIRS} SELECT left_id, right_id, n_left, n_right, c / u AS jaccard FROM pairs")
 def near_duplicate_pairs(spark, sf_dir):
-    return audit.near_pairs(audit.near_classes(marked(spark, sf_dir)))
+    return audit.near_pairs(audit.near_classes(audit.annotated(_variants(spark, sf_dir), PROSE_TOPICS)))
+
+
+@query("preamble_run", f"WITH b AS (SELECT doc_id, doc_id <= 2 OR doc_id = 5 AS begins FROM documents) SELECT doc_id, doc_id < (SELECT min(doc_id) FROM b WHERE NOT begins) AS preamble FROM b")
+def preamble_run(spark, sf_dir):
+    lead = F.when((F.col("doc_id") <= 2) | (F.col("doc_id") == 5), "  It is NOT an\nFCOM. ").otherwise("")
+    begun = documents(spark, sf_dir).select("doc_id", text.begins_preamble(F.concat(lead, "text")).alias("begins"))
+    return audit.with_preamble(begun).select("doc_id", "preamble")
 
 
 @query("near_duplicate_summary", f"WITH {_MARKED}, {_CLASSES}, {_SHINGLES}, {_PAIRS}, linked AS (SELECT left_id AS id FROM pairs UNION SELECT right_id FROM pairs UNION SELECT id FROM classes WHERE n > 1) SELECT (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM classes) + (SELECT coalesce(sum(n_left * n_right), 0) FROM pairs) AS pair_count, (SELECT coalesce(sum(n), 0) FROM classes WHERE id IN (SELECT id FROM linked)) AS record_count")
@@ -180,9 +198,15 @@ _TRANSCRIPT = r"talks AS (SELECT conv_id AS doc_id, string_agg(upper(left(role,
 _SPANS = rf"spans AS (SELECT doc_id, {_CANON.format('raw')} AS answer FROM (SELECT doc_id, unnest(list_transform(string_split(regexp_replace(text, '(?i)assistant:\s*', chr(1), 'g'), chr(1))[2:], lambda x: regexp_replace(x, '(?is)\s+(user|scenario):.*$', ''))) AS raw FROM talks))"
 
 
-@query("repeated_answers", f"WITH {_TRANSCRIPT}, {_SPANS} SELECT answer, count(*) AS n FROM spans WHERE answer <> '' GROUP BY 1 HAVING count(*) > 1")
+@query("answer_counts", f"WITH {_TRANSCRIPT}, {_SPANS} SELECT answer, count(*) AS n FROM spans WHERE answer <> '' GROUP BY 1")
+def answer_counts(spark, sf_dir):
+    return audit.answer_counts(instruction.transcripts(table(spark, sf_dir, "conversations")))
+
+
+@query("repeated_answers", f"WITH a AS (SELECT 'It is written in ' || lang || '.' AS answer FROM documents UNION ALL SELECT source || ' said so.' FROM documents) SELECT {_CANON.format('answer')} AS answer, count(*) AS n FROM a GROUP BY 1 HAVING count(*) > 1")
 def repeated_answers(spark, sf_dir):
-    return audit.answer_counts(instruction.transcripts(table(spark, sf_dir, "conversations"))).where("n > 1")
+    said = F.concat(F.lit("User: how? Assistant:  It is written in "), "lang", F.lit(".\tScenario: again User: who? ASSISTANT: "), "source", F.lit(" said  so. User: ah."))
+    return audit.answer_counts(table(spark, sf_dir, "documents").select("doc_id", said.alias("text"))).where("n > 1")
 
 
 def _templated(spark, sf_dir):
@@ -197,12 +221,29 @@ def variation_structures(spark, sf_dir):
     return audit.variation_counts(_templated(spark, sf_dir), ())
 
 
-@query("template_slots", "SELECT doc_id, 'family-' || left(sha256('training variation <variation>. exercise <num> from the angle of <angle>.'), 16) AS family_id FROM documents")
+@query("template_slots", "SELECT doc_id, 'family-' || left(sha256('k' || doc_id % 5 || ' training variation <variation>. in this training context, <context>. from <perspective>? from the angle of <angle>. during <study> study after <change>. exercise <num> about <topic>, <num>.'), 16) AS family_id FROM documents")
 def template_slots(spark, sf_dir):
-    return _templated(spark, sf_dir).select("doc_id", audit.masked(F.col("text")).alias("family_id"))
+    """All nine slots, filled with each document's first word and numbers; what is left tells five families apart."""
+    word = F.regexp_extract("text", r"^\s*(\p{L}+)", 1)
+    number = (F.col("doc_id") % 7).cast("string")
+    parts = ["K", (F.col("doc_id") % 5).cast("string"), " Training variation ", number, ": about ", word, ". In this training context, during the ", word, ", where the learner is focusing on the ", word, " while checking the ", word, ". From the old ", word, " perspective? From the angle of old ", word, ". During a long ", word, " study after a small configuration change — exercise ", number, ". Exercise ", number, "  about\nTHAT, ", number, "."]
+    rows = documents(spark, sf_dir).select("doc_id", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("text"))
+    return rows.select("doc_id", audit.masked(F.col("text"), PROSE_TOPICS).alias("family_id"))
+
+
+_PATTERN_SUMS = " + ".join(f"coalesce(sum(len(regexp_extract_all(text, '(?i){p}'))), 0)::BIGINT" for _, p in PROSE_PATTERNS)
 
 
-@query("audit_report")
+@query("audit_report", f"""WITH {_MARKED}, {_KEPT}, {_CLASSES}, {_SHINGLES}, {_PAIRS}, groups AS (SELECT count(*) AS n FROM marked GROUP BY family_id, topic),
+exact AS (SELECT count(*) AS n FROM marked GROUP BY canonical HAVING count(*) > 1), linked AS (SELECT left_id AS id FROM pairs UNION SELECT right_id FROM pairs UNION SELECT id FROM classes WHERE n > 1),
+talks AS (SELECT doc_id, text FROM documents), {_SPANS}, answers AS (SELECT count(*) AS n FROM spans WHERE answer <> '' GROUP BY answer HAVING count(*) > 1),
+variations AS (SELECT count(*) AS n FROM documents WHERE regexp_matches(text, '(?i)training variation\\s+\\d+:') GROUP BY text HAVING count(*) > 1)
+SELECT (SELECT count(*) FROM marked) AS records_before, (SELECT sum({_BYTES}) FROM marked) AS bytes_before, (SELECT count(*) FROM kept) AS records_after, (SELECT sum({_BYTES}) FROM kept) AS bytes_after,
+(SELECT count(*) FROM groups WHERE n > 1) AS equivalent_groups, (SELECT sum(n - 1) FROM groups) AS equivalent_removed, (SELECT sum({_BYTES}) FROM marked) - (SELECT sum({_BYTES}) FROM kept) AS bytes_removed,
+(SELECT count(*) FROM exact) AS exact_groups, (SELECT coalesce(sum(n - 1), 0) FROM exact) AS beyond_first, (SELECT count(DISTINCT family_id) FROM marked) AS families_before, (SELECT count(DISTINCT family_id) FROM kept) AS families_after,
+(SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM classes) + (SELECT coalesce(sum(n_left * n_right), 0) FROM pairs) AS near_pairs, (SELECT coalesce(sum(n), 0) FROM classes WHERE id IN (SELECT id FROM linked)) AS near_records,
+(SELECT count(*) FROM answers) AS repeated_answers, (SELECT coalesce(sum(n), 0) FROM answers) AS repeated_answer_occurrences, (SELECT count(*) FROM variations) AS repeated_variations, (SELECT coalesce(sum(n), 0) FROM variations) AS repeated_variation_occurrences,
+(SELECT {_PATTERN_SUMS} FROM documents) AS boilerplate_matches, (SELECT count(*) FROM marked WHERE n_words < 12) AS low_information""")
 def audit_report(spark, sf_dir):
     return audit.report(documents(spark, sf_dir), PROSE_TOPICS, PROSE_PATTERNS)
 
@@ -237,8 +278,13 @@ def document_sha256(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", hashing.sha256(F.col("text")).alias("sha256"))
 
 
-@query("corpus_digest")
+@query("corpus_digest", "SELECT sha256(unhex(string_agg(lpad(lower(hex(octet_length(encode(text)))), 16, '0') || hex(encode(text)), '' ORDER BY doc_id))) AS digest FROM documents")
 def corpus_digest(spark, sf_dir):
+    return spark.createDataFrame([(verify.corpus_digest(documents(spark, sf_dir)),)], "digest string")
+
+
+@query("sharded_digest")
+def sharded_digest(spark, sf_dir):
     return verify.sharded_digest(documents(spark, sf_dir))
 
 
@@ -273,9 +319,12 @@ def tokenized(spark, sf_dir):
     return prepare(documents(spark, sf_dir), PHRASES, sample_bytes=SAMPLE)
 
 
-@query("token_counts")
+@query("token_counts", f"WITH {_SPLIT} SELECT split, count(*) AS documents, sum({_BYTES} + 1)::BIGINT AS tokens FROM split GROUP BY 1")
 def token_counts(spark, sf_dir):
-    return windows.stream_lengths(tokenized(spark, sf_dir).tokens)
+    """With a vocabulary of single bytes, whose counts SQL can tell."""
+    vocabulary = subwords.Vocabulary([bytes([b]) for b in range(256)] + [b"", b""])
+    tokens = subwords.encoded(split_documents(spark, sf_dir), vocabulary).select("split", "doc_id", "tokens")
+    return windows.stream_lengths(windows.streamed(tokens))
 
 
 @query("token_round_trip", "SELECT doc_id, sha256(text) AS decoded_sha256 FROM documents")
@@ -284,16 +333,28 @@ def token_round_trip(spark, sf_dir):
     return subwords.decoded(done.tokens, done.vocabulary).select("doc_id", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@query("eos_check", "SELECT doc_id, 1 AS ends FROM documents")
+@query("eos_check", "SELECT doc_id, CASE WHEN doc_id % 5 <> 4 THEN 1 + doc_id % 5 END AS ends FROM documents")
 def eos_check(spark, sf_dir):
-    last = F.when(F.element_at("tokens", -1) == fixed.EOS_ID, F.size(F.filter("tokens", lambda t: t == fixed.EOS_ID)))
-    return tokenized(spark, sf_dir).tokens.select("doc_id", last.alias("ends"))
+    """End tokens of each document that ends with one, after up to three were added to it and every fifth lost its own."""
+    more = F.array_repeat(F.lit(fixed.EOS_ID), (F.col("doc_id") % 5).cast("int"))
+    changed = F.when(F.col("doc_id") % 5 == 4, F.slice("tokens", F.lit(1), F.size("tokens") - 1)).otherwise(F.concat("tokens", more))
+    last = F.when(F.element_at("t", -1) == fixed.EOS_ID, F.size(F.filter("t", lambda t: t == fixed.EOS_ID)).cast("long"))
+    return tokenized(spark, sf_dir).tokens.select("doc_id", changed.alias("t")).select("doc_id", last.alias("ends"))
+
+
+def _failing(when: str, check: str, what: str) -> str:
+    return f"SELECT '{check}' AS \"check\", split || ' document ' || doc_id || ' {what}' AS detail FROM split WHERE {when}"
 
 
-@query("verify_dataset", "SELECT 'x' AS check, 'x' AS detail WHERE false")
+@query("verify_dataset", f"WITH {_SPLIT} " + " UNION ALL ".join((
+    _failing("doc_id % 97 = 0 OR doc_id % 101 = 0", "token stream", "does not match its source"), _failing("doc_id % 97 = 0", "token ids", "holds an id outside of the vocabulary"),
+    _failing("doc_id % 101 = 0 AND doc_id % 97 <> 0", "end tokens", "does not hold one end token, at its end"))))
 def verify_dataset(spark, sf_dir):
+    """The failures of a prepared dataset whose token streams were tampered with: some begin with an id that no token has, others lost their end."""
     done = tokenized(spark, sf_dir)
-    return verify.failures(done.split, done.tokens, done.vocabulary, done.manifest)
+    rest = F.slice("tokens", F.lit(2), F.size("tokens"))
+    tampered = F.when(F.col("doc_id") % 97 == 0, F.concat(F.array(F.lit(70_000)), rest)).when(F.col("doc_id") % 101 == 0, F.concat(F.slice("tokens", F.lit(1), F.size("tokens") - 1), F.array(F.lit(0)))).otherwise(F.col("tokens"))
+    return verify.failures(done.split, done.tokens.withColumn("tokens", tampered), done.vocabulary, done.manifest)
 
 
 # --- windows ----------------------------------------------------------------------------------------------------------
