@@ -5,7 +5,7 @@ metaspace marker, the pieces with their scores and the byte fallback are built
 anew: a unigram model becomes a lattice over the piece scores, a BPE model the
 merges that its scores imply. Batches are encoded with several threads. Where
 no piece holds the marker after another character, a text is split before each
-run of markers first, which changes no result and lets words be cached.
+run of markers first, which changes no result; each word is then encoded once and kept for the texts that follow.
 
 Parity is verified, not assumed: the whole of ``PROBES`` when an encoder is
 built, and in each batch of documents the text that the rebuilt decoder makes of the ids against the given one
@@ -15,10 +15,12 @@ and the ids of every document against the sentencepiece library (equal texts of
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections import defaultdict
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,10 @@ from textquarry.llm.common import slices, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that are encoded at once; an encoding takes some fifty times its text.
 ENCODED_AT_ONCE = 256 << 10
+#: Words that a worker keeps with their ids, and the longest of these.
+WORDS_KEPT, LONGEST_KEPT = 400_000, 64
 MARK = "\N{LOWER ONE EIGHTH BLOCK}"
+WORD = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
 #: Kinds of pieces in the file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -114,25 +119,65 @@ def built(spec: Spec):
     steps += [normalizers.Replace(" ", MARK)] + ([normalizers.Prepend(MARK)] if spec.prefix else [])
     out.normalizer = normalizers.Sequence(steps)
     if spec.splits():
-        out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
+        out.pre_tokenizer = pre_tokenizers.Split(Regex(WORD), "isolated")
     out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1 << 20 if spec.squeeze else 1, 0)] if spec.prefix or spec.squeeze else [])])
     return out
 
 
+class Encoder:
+    """A rebuilt tokenizer; ``encode`` takes texts to ids (int32), word by word where the model allows that, ``decode`` takes ids back."""
+
+    def __init__(self, spec: Spec):
+        self.tokenizer, self.words, self.kept = built(spec), None, {}
+        if spec.splits() and not spec.charsmap and not spec.squeeze:
+            self.front = MARK if spec.prefix else ""
+            # The same model on words that the normaliser has made already.
+            self.words = built(spec)
+            self.words.normalizer = None
+            self.find, self.plain = re.compile(WORD).findall, re.compile(f"{MARK}[^{MARK}]+").fullmatch
+
+    def _ids(self, words: list[str]) -> dict[str, bytes]:
+        """Of different words. Those with one marker in front are encoded in one piece, as each of them parts again before its marker."""
+        plain = list(filter(self.plain, words))
+        lone = [w for w in words if not self.plain(w)]
+        texts = [plain[at : at + 4096] for at in range(0, len(plain), 4096)]
+        out = {w: np.array(e.ids, np.int32).tobytes() for w, e in zip(lone, self.words.encode_batch_fast(lone, add_special_tokens=False))}
+        for part, e in zip(texts, self.words.encode_batch(["".join(p) for p in texts], add_special_tokens=False)):
+            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part)), "right") * 4
+            ids = np.array(e.ids, np.int32).tobytes()
+            out.update((w, ids[i:j]) for w, i, j in zip(part, [0, *ends.tolist()], ends.tolist()))
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.words is None:
+            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        split = [self.find(self.front + t.replace(" ", MARK)) if t else () for t in texts]
+        new = list(set(chain.from_iterable(split)) - self.kept.keys())
+        self.kept.update(self._ids(new))
+        out = [np.frombuffer(b"".join(map(self.kept.__getitem__, words)), np.int32) for words in split]
+        # What came first stays, frequent words among it; long words and those beyond the bound go again.
+        room = max(0, WORDS_KEPT - len(self.kept) + len(new))
+        for k, w in enumerate(new):
+            if k >= room or len(w) > LONGEST_KEPT:
+                del self.kept[w]
+        return out
+
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        return self.tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+
+
 @lru_cache(maxsize=4)
 def _encoder(digest: int, data: bytes):
-    """(tokenizer, sentencepiece processor), once for each worker and model; raises where they disagree."""
+    """(encoder, sentencepiece processor), once for each worker and model; raises where they disagree."""
     import sentencepiece
 
-    spec = Spec(data)
-    tokenizer, theirs = built(spec), sentencepiece.SentencePieceProcessor(model_proto=data)
-    for text in PROBES:
-        mine = tokenizer.encode(text, add_special_tokens=False).ids
-        if mine != theirs.encode(text):
-            raise ValueError(f"no parity with the model for {text!r}: {mine} and {theirs.encode(text)}")
-        if tokenizer.decode(mine, skip_special_tokens=False) != theirs.decode(mine):
+    mine, theirs = Encoder(Spec(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+    for text, ids in zip(PROBES, mine.encode(PROBES)):
+        if ids.tolist() != theirs.encode(text):
+            raise ValueError(f"no parity with the model for {text!r}: {ids} and {theirs.encode(text)}")
+        if mine.decode([ids]) != [theirs.decode(ids.tolist())]:
             raise ValueError(f"no parity with the model in decoding {text!r}")
-    return tokenizer, theirs
+    return mine, theirs
 
 
 def encoder(data: bytes):
@@ -161,18 +206,17 @@ def encoded(docs: DataFrame, model: str = MODEL, threads: int = 2, parity_share:
     def encode(batches):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        tokenizer, theirs = encoder(shared.value)
+        mine, theirs = encoder(shared.value)
         for batch in slices(batches, most=ENCODED_AT_ONCE):
             texts = batch.column("text").to_pylist()
             once = {t: i for i, t in enumerate(dict.fromkeys(t for t in texts if t is not None))}
-            own = [e.ids for e in tokenizer.encode_batch_fast(list(once), add_special_tokens=False)]
-            back = tokenizer.decode_batch(own, skip_special_tokens=False)
+            own = mine.encode(list(once))
+            back = mine.decode(own)
             chosen = [t for t in once if parity_share == 1 or zlib.crc32(t.encode()) % parity_share == 0]
             wanted = dict(zip(chosen, theirs.encode(chosen, num_threads=1) if chosen else ()))
             # Where the decoder gives the text back, the library would have to as well; only others are decoded by both.
-            same = {t: own[once[t]] == w and (back[once[t]] == t or back[once[t]] == theirs.decode(w)) for t, w in wanted.items()}
-            arrays = [np.array(x, np.int32) for x in own]
-            ids = [None if t is None else arrays[once[t]] for t in texts]
+            same = {t: np.array_equal(own[once[t]], np.array(w, np.int32)) and (back[once[t]] == t or back[once[t]] == theirs.decode(w)) for t, w in wanted.items()}
+            ids = [None if t is None else own[once[t]] for t in texts]
             trip = [None if t is None else back[once[t]] == t for t in texts]
             parity = [same.get(t) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids), pa.array(trip, pa.bool_()), pa.array(parity, pa.bool_())], [*batch.schema.names, "__tq_ids", "__tq_round_trip", "__tq_parity"])
@@ -194,13 +238,13 @@ def decoded(rows: DataFrame, ids: str = "__tq_ids", model: str = MODEL) -> DataF
     shared = spark.sparkContext.broadcast(read_model(spark, model))
 
     def decode(batches):
-        tokenizer, _ = encoder(shared.value)
-        size = tokenizer.get_vocab_size()
+        mine, _ = encoder(shared.value)
+        size = mine.tokenizer.get_vocab_size()
         for batch in batches:
             each = batch.column(ids).to_pylist()
             if any(i is None or not 0 <= i < size for x in each if x for i in x):
                 raise ValueError("an id outside of the model")
-            found = iter(tokenizer.decode_batch([x for x in each if x is not None], skip_special_tokens=False))
+            found = iter(mine.decode([np.array(x, np.int32) for x in each if x is not None]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else next(found) for x in each], pa.string())], [*batch.schema.names, "__tq_text"])
 
     return rows.mapInArrow(decode, rows.withColumn("__tq_text", F.lit(None).cast("string")).schema)
