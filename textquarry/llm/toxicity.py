@@ -75,7 +75,7 @@ def _batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _counted(batches):
     """(v, w, n0, n1): in how many ordinary and toxic documents of a batch w comes after v."""
-    for batch in slices(batches, most=8 << 20):
+    for batch in slices(batches, most=4 << 20):
         words, before, sizes = _batch_words(batch.column("text"))
         if not len(words):
             continue
