@@ -180,3 +180,39 @@ def test_joined_ratios_give_the_same(spark, tables, monkeypatch):
     want = sorted(map(str, toxicity.scored(docs, labels).collect()))
     monkeypatch.setattr(toxicity, "MOST_ROWS", 0)
     assert sorted(map(str, toxicity.scored(docs, labels).collect())) == want
+
+
+def sent(spark):
+    """Bytes that all stages so far have shuffled and written."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    context = spark.sparkContext._jvm
+    found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(context.double, 0), context.java.util.ArrayList())
+    stages = [found.apply(i) for i in range(found.size())]
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() + s.outputBytes() for s in stages}
+
+
+def test_joined_ratios_stay_within_the_disk(spark, tmp_path, monkeypatch):
+    """Joined, the keys of the documents once took thirty times the input."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(toxicity, "MOST_ROWS", 0)
+    before = sent(spark)
+    assert toxicity.scored(docs.select("doc_id", "text"), labels).agg(F.sum("__tq_score")).first()[0] > 0
+    took = sum(n for k, n in sent(spark).items() if k not in before)
+    assert 0 < took < 6 * 1_428_373
+
+
+def test_groups_and_messages(spark, monkeypatch):
+    """Any rows come back from groups; keys come back from messages; texts without a key of the table ask nothing and have a score."""
+    rng = np.random.default_rng(5)
+    for keys in (np.zeros(0, np.uint64), np.zeros(1, np.uint64), np.unique(rng.integers(0, 1 << 64, 1000, np.uint64)), np.array([0, 1, 2**64 - 1], np.uint64)):
+        assert toxicity._keys(toxicity._message(keys)).tolist() == keys.tolist()
+    monkeypatch.setattr(toxicity, "GROUP_BYTES", 300)
+    batch = pa.RecordBatch.from_pydict({"text": ["a b"] * 9 + [None, "", "c" * 1000], "n": list(range(12))})
+    packed = list(toxicity._packed([batch, batch.slice(0, 0), batch]))
+    back = [r for p in packed for b in toxicity._group(p["rows"][0].as_py()) for r in b.to_pylist()]
+    assert len(packed) > 4 and back == 2 * batch.to_pylist()
+    docs = spark.createDataFrame([(1, "zzz"), (2, None), (3, "blarg zzz"), (None, "")], "doc_id long, text string")
+    ratios = spark.createDataFrame([(toxicity.WORD, int(toxicity.word_keys(b"blarg").view(np.int64)[0]), 2.0)], "kind int, key long, ratio float")
+    finish = lambda b, x: pa.RecordBatch.from_arrays([*b.columns, pa.array(x[:, 0])], [*b.schema.names, "x"])
+    got = [toxicity._applied(docs, ratios, -1.0, finish, "doc_id long, text string, x double").collect() for most in (1, 0) if monkeypatch.setattr(toxicity, "MOST_ROWS", most) is None]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1])) and {(r.doc_id, r.x) for r in got[1]} == {(1, -1.0), (2, 0.0), (3, 0.5), (None, 0.0)}

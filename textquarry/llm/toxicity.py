@@ -17,17 +17,19 @@ speak most for toxicity, and its largest mean over PEAK words; the latter two ta
 Counts come from every labelled training document and stay in Spark, one row for each
 word, context and pair (64-bit keys), however many there are. Of these only words and pairs beyond the cutoffs and contexts of such pairs
 have a value of their own in the table of ratios. It is broadcast up to ``MOST_ROWS``
-rows; beyond, the documents' distinct words and pairs are joined with it by shuffle.
+rows; beyond, groups of documents ask its parts for their different words and pairs by shuffle.
 Labelled rows are dealt by crc32(doc_id as text) mod 5: 0 is held out, of 1 at most ``MOST_CURVE`` rows (a uniform
 choice by hash) fit the curve, all others are counted. Settings were chosen on fold 1.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,10 @@ from textquarry.llm.common import slices, table, written
 
 #: Rows of the table of ratios up to which it is broadcast.
 MOST_ROWS = 1 << 21
+#: Beyond: bytes of text of a group of documents, and rows of the table and groups for each part of the table.
+GROUP_BYTES, PART_ROWS, PART_GROUPS = 4 << 20, 1 << 15, 8
+#: Binary logarithm of the bits of a map of its keys, at most (32 MB).
+MOST_BITS = 28
 #: Contexts of a word, documents of a pair from which on they count.
 LEAST = 5
 TOP, PEAK = 3, 8
@@ -189,48 +195,136 @@ def _features(ratios: Ratios, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _distinct_keys(batches):
-    for batch in slices(batches):
-        out = []
-        for text in batch.column("text").cast(pa.binary()).to_pylist():
-            words = word_keys(text)
-            before = np.concatenate([np.zeros(1, np.uint64), words[:-1]]) if len(words) else words
-            out.append([np.unique(x) for x in (words, before, pair_keys(before, words))])
-        sizes = [sum(map(len, x)) for x in out]
-        own = [pa.array(np.repeat(batch.column(k).to_numpy(), sizes)) for k in _KEYS]
-        kind = np.concatenate([np.zeros(0, np.int32), *(np.full(len(x), k, np.int32) for each in out for k, x in enumerate(each))])
-        key = np.concatenate([np.zeros(0, np.uint64), *(x for each in out for x in each)]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*own, pa.array(kind), pa.array(key)], [*_KEYS, "kind", "key"])
+def _packed(batches):
+    """(g, rows): groups of up to GROUP_BYTES of text, each of them one compressed value under a random number."""
 
+    def pack(group):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, group[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
+            for part in group:
+                out.write_batch(part)
+        g = int.from_bytes(os.urandom(8), "little", signed=True)
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["g", "rows"])
 
-_KEYS = ["__tq_k1", "__tq_k2"]
+    group, size = [], 0
+    for batch in slices(batches, most=GROUP_BYTES):
+        more = (pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0) + 64 * batch.num_rows
+        if group and size + more > GROUP_BYTES:
+            yield pack(group)
+            group, size = [], 0
+        group, size = [*group, batch], size + more
+    if group:
+        yield pack(group)
 
 
-def _applied(rows: DataFrame, ratios: DataFrame, other: float, finish, schema) -> DataFrame:
-    """``finish(batch, features)`` of all batches of ``rows`` (text, ...), with the table of ratios broadcast or, where it is large, joined."""
-    if ratios.count() <= MOST_ROWS:
-        found = ratios.toArrow()
-        shared = rows.sparkSession.sparkContext.broadcast(Ratios(*(found[c].to_numpy() for c in ("kind", "key", "ratio")), other))
+def _group(rows: bytes) -> list[pa.RecordBatch]:
+    return list(slices(pa.ipc.open_stream(rows)))
+
+
+class Likely:
+    """One bit for each range of keys, set where the table has one: keys without are surely not in it, others are looked up.
+
+    Some 16 bits for each row of the table, up to 1 << MOST_BITS; a fuller map lets more keys through and changes no result.
+    """
+
+    def __init__(self, ratios: DataFrame, n_ratios: int):
+        self.bits = min(MOST_BITS, max(6, (16 * n_ratios).bit_length()))
+        at = f"shiftrightunsigned(key, {64 - self.bits})"
+        each = ratios.select(F.expr(f"cast(shiftrightunsigned({at}, 6) as int)").alias("at"), F.expr(f"shiftleft(1L, cast({at} & 63 as int))").alias("bit"))
+        found = each.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+        self.map = np.zeros(1 << self.bits - 6, np.uint64)
+        self.map[found["at"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Those of ``keys`` that the table may have."""
+        at = keys >> np.uint64(64 - self.bits)
+        return keys[(self.map[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+
+
+def _asked(group: list[pa.RecordBatch], likely) -> tuple[np.ndarray, np.ndarray]:
+    """The different ``likely`` (words and contexts, pairs) of a group's texts, sorted."""
+    words, pairs = [likely(np.zeros(1, np.uint64))], [np.zeros(0, np.uint64)]
+    for batch in group:
+        own, before, _ = _batch_words(batch.column("text"))
+        words.append(likely(np.unique(own)))
+        pairs.append(likely(np.unique(pair_keys(before, own))))
+    return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
+
 
-        def apply(batches):
-            for batch in slices(batches):
-                yield finish(batch, _features(shared.value, batch.column("text")))
+def _message(keys: np.ndarray) -> bytes:
+    """Sorted keys as the steps between them, all first bytes before all second ones and so on: shuffles compress the high ones away."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-        return rows.mapInArrow(apply, schema)
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = rows.withColumns({"__tq_k1": F.xxhash64(text), "__tq_k2": F.xxhash64(F.lit(1), text)})
-    keys = keyed.select(*_KEYS, "text").mapInArrow(_distinct_keys, "__tq_k1 long, __tq_k2 long, kind int, key long").distinct()
-    own = keys.join(ratios.hint("shuffle_merge"), ["kind", "key"]).groupBy(*_KEYS).agg(F.collect_list(F.struct("kind", "key", "ratio")).alias("__tq_own"))
+def _keys(message: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(message, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """``data`` cut at ``ends`` (bytes, the first of them 0)."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _joined(rows: DataFrame, ratios: DataFrame, n_ratios: int, other: float, finish, schema) -> DataFrame:
+    """``_applied`` for a table of any size, which is dealt by ranges of keys.
+
+    Documents are put into groups. Each asks every part of the table for its different words and pairs that the table may have, as
+    steps between sorted 64-bit keys, and gets one number back for each of them in that order (two for a word, which may be a context as well; NaN
+    where the table has none). So neither documents nor keys are repeated for each document, and no answer carries keys.
+    """
+    groups = written(rows.mapInArrow(_packed, "g long, rows binary"), "groups")
+    likely = rows.sparkSession.sparkContext.broadcast(Likely(ratios, n_ratios))
+    parts = max(1, -(-n_ratios // PART_ROWS), -(-groups.count() // PART_GROUPS))
+
+    def ask(batches):
+        for batch in batches:
+            for g, rows in zip(batch.column("g").to_pylist(), batch.column("rows")):
+                asked = _asked(_group(rows.as_py()), likely.value)
+                ends = [np.searchsorted((k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64)) for k in asked]
+                some = np.nonzero(sum(map(np.diff, ends)))[0]
+                messages = [pa.array([_message(k[e[i] : e[i + 1]]) for i in some], pa.binary()) for k, e in zip(asked, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), g, np.int64)), *messages], ["part", "g", "words", "pairs"])
+
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        known = Ratios(*(own[c].to_numpy() for c in ("kind", "key", "ratio")), other)
+        out = {}
+        for column, kinds in (("words", {"single": WORD, "gap": CONTEXT}), ("pairs", {"full": PAIR})):
+            each = list(map(_keys, asked[column].to_pylist()))
+            keys, ends = np.concatenate([np.zeros(0, np.uint64), *each]), np.cumsum([0, *map(len, each)]) * 4
+            for name, kind in kinds.items():
+                has, ratio = known._of(kind, keys)
+                out[name] = _binaries(np.where(has, ratio, np.float32(np.nan)).astype(np.float32), ends)
+        return pa.table({"g": asked["g"], "part": asked["part"], **out})
+
+    def apply(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        group = _group(packed["rows"][0].as_py())
+        words, pairs = _asked(group, likely.value)
+        answers = answers.sort_by("part")
+        found = [(kind, keys, np.frombuffer(b"".join(answers[c].to_pylist()), np.float32)) for kind, keys, c in ((WORD, words, "single"), (CONTEXT, words, "gap"), (PAIR, pairs, "full"))]
+        has = [~np.isnan(x) for _, _, x in found]
+        known = Ratios(np.concatenate([np.full(h.sum(), k) for h, (k, _, _) in zip(has, found)]), np.concatenate([keys[h] for h, (_, keys, _) in zip(has, found)]), np.concatenate([x[h] for h, (_, _, x) in zip(has, found)]), other)
+        return pa.Table.from_batches([finish(batch, _features(known, batch.column("text"))) for batch in group])
+
+    part = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(parts).cast("long"), 32).cast("int")
+    dealt = ratios.select(part.alias("part"), "kind", "key", "ratio")
+    asked = groups.mapInArrow(ask, "part int, g long, words binary, pairs binary")
+    answers = asked.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(answer, "g long, part int, single binary, gap binary, full binary")
+    return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(apply, schema)
+
+
+def _applied(rows: DataFrame, ratios: DataFrame, other: float, finish, schema) -> DataFrame:
+    """``finish(batch, features)`` of all batches of ``rows`` (text, ...), with the table of ratios broadcast or, where it is large, joined."""
+    n_ratios = ratios.count()
+    if n_ratios > MOST_ROWS:
+        return _joined(rows, ratios, n_ratios, other, finish, schema)
+    found = ratios.toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast(Ratios(*(found[c].to_numpy() for c in ("kind", "key", "ratio")), other))
 
-    def apply_joined(batches):
+    def apply(batches):
         for batch in slices(batches):
-            own = batch.column("__tq_own").flatten()
-            known = Ratios(*(own.field(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "ratio")), other)
-            yield finish(batch.select(rows_columns), _features(known, batch.column("text")))
+            yield finish(batch, _features(shared.value, batch.column("text")))
 
-    rows_columns = rows.columns
-    return keyed.join(own.hint("shuffle_merge"), _KEYS, "left").select(*rows.columns, "__tq_own").mapInArrow(apply_joined, schema)
+    return rows.mapInArrow(apply, schema)
 
 
 class Curve:
