@@ -20,7 +20,7 @@ import struct
 import zlib
 from collections import defaultdict
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +120,7 @@ def built(spec: Spec):
     out.normalizer = normalizers.Sequence(steps)
     if spec.splits():
         out.pre_tokenizer = pre_tokenizers.Split(Regex(WORD), "isolated")
-    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1 << 20 if spec.squeeze else 1, 0)] if spec.prefix or spec.squeeze else [])])
+    out.decoder = decoders.Sequence([decoders.Metaspace(MARK, prepend_scheme="never"), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1 << 20 if spec.squeeze else 1, 0)] if spec.prefix or spec.squeeze else [])])
     return out
 
 
@@ -128,42 +128,57 @@ class Encoder:
     """A rebuilt tokenizer; ``encode`` takes texts to ids (int32), word by word where the model allows that, ``decode`` takes ids back."""
 
     def __init__(self, spec: Spec):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.tokenizer, self.words, self.kept = built(spec), None, {}
         if spec.splits() and not spec.charsmap and not spec.squeeze:
             self.front = MARK if spec.prefix else ""
-            # The same model on words that the normaliser has made already.
-            self.words = built(spec)
-            self.words.normalizer = None
+            # The same model on words that the normaliser has made already: on each as it is, and on many that part before every marker.
+            self.words, self.many = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+            self.many.pre_tokenizer = pre_tokenizers.Metaspace(MARK, prepend_scheme="never", split=True)
+            self.opens = np.array([kind == NORMAL and MARK in p for p, _, kind in spec.pieces])
             self.find, self.plain = re.compile(WORD).findall, re.compile(f"{MARK}[^{MARK}]+").fullmatch
 
+    def _split(self, text: str) -> list[str]:
+        """The words of a text; where a marker is put before the text, words with one marker in front go without it."""
+        if not self.front:
+            return self.find(text.replace(" ", MARK))
+        if MARK in text or "  " in text or text[:1] == " ":
+            return [w[1:] if self.plain(w) else w for w in self.find(MARK + text.replace(" ", MARK))]
+        return text.split(" ") if text else []
+
     def _ids(self, words: list[str]) -> dict[str, bytes]:
-        """Of different words. Those with one marker in front are encoded in one piece, as each of them parts again before its marker."""
-        plain = list(filter(self.plain, words))
-        lone = [w for w in words if not self.plain(w)]
-        texts = [plain[at : at + 4096] for at in range(0, len(plain), 4096)]
-        out = {w: np.array(e.ids, np.int32).tobytes() for w, e in zip(lone, self.words.encode_batch_fast(lone, add_special_tokens=False))}
-        for part, e in zip(texts, self.words.encode_batch(["".join(p) for p in texts], add_special_tokens=False)):
-            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part)), "right") * 4
-            ids = np.array(e.ids, np.int32).tobytes()
-            out.update((w, ids[i:j]) for w, i, j in zip(part, [0, *ends.tolist()], ends.tolist()))
+        """Of different words. Those with one marker in front are encoded many at once, as each of them parts again before its marker: the piece that holds it is the word's first."""
+        plain = [w for w in words if w and MARK not in w] if self.front else list(filter(self.plain, words))
+        parts, out = [plain[at : at + 4096] for at in range(0, len(plain), 4096)], {}
+        for part, e in zip(parts, self.many.encode_batch_fast([self.front + self.front.join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, np.int32)
+            starts = (np.nonzero(self.opens[ids])[0] * 4).tolist()
+            if len(starts) == len(part):  # else the marker has no piece
+                out.update(zip(part, map(ids.tobytes().__getitem__, map(slice, starts, [*starts[1:], ids.nbytes]))))
+        lone = [w for w in words if w not in out]
+        whole = [w if MARK in w else self.front + w for w in lone]
+        out.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(lone, self.words.encode_batch_fast(whole, add_special_tokens=False)))
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.words is None:
             return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [self.find(self.front + t.replace(" ", MARK)) if t else () for t in texts]
-        new = list(set(chain.from_iterable(split)) - self.kept.keys())
-        self.kept.update(self._ids(new))
-        out = [np.frombuffer(b"".join(map(self.kept.__getitem__, words)), np.int32) for words in split]
-        # What came first stays, frequent words among it; long words and those beyond the bound go again.
-        room = max(0, WORDS_KEPT - len(self.kept) + len(new))
-        for k, w in enumerate(new):
-            if k >= room or len(w) > LONGEST_KEPT:
-                del self.kept[w]
+        split = list(map(self._split, texts))
+        found = [list(map(self.kept.get, words)) for words in split]
+        new = [[w for w, ids in zip(*both) if ids is None] for both in zip(split, found)]
+        made = self._ids(list(set(chain.from_iterable(new))))
+        out = []
+        for known, missing in zip(found, new):
+            rest = map(made.__getitem__, missing)
+            out.append(np.frombuffer(b"".join([next(rest) if ids is None else ids for ids in known]), np.int32))
+        # What came first stays, frequent words among it; long words go again.
+        room = WORDS_KEPT - len(self.kept)
+        self.kept.update((w, ids) for w, ids in islice(made.items(), max(0, room)) if len(w) <= LONGEST_KEPT)
         return out
 
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+    def decode(self, ids: list[np.ndarray] | list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch([i if isinstance(i, list) else i.tolist() for i in ids], skip_special_tokens=False)
 
 
 @lru_cache(maxsize=4)
@@ -211,11 +226,12 @@ def encoded(docs: DataFrame, model: str = MODEL, threads: int = 2, parity_share:
             texts = batch.column("text").to_pylist()
             once = {t: i for i, t in enumerate(dict.fromkeys(t for t in texts if t is not None))}
             own = mine.encode(list(once))
-            back = mine.decode(own)
+            plain = [i.tolist() for i in own]
+            back = mine.decode(plain)
             chosen = [t for t in once if parity_share == 1 or zlib.crc32(t.encode()) % parity_share == 0]
             wanted = dict(zip(chosen, theirs.encode(chosen, num_threads=1) if chosen else ()))
             # Where the decoder gives the text back, the library would have to as well; only others are decoded by both.
-            same = {t: np.array_equal(own[once[t]], np.array(w, np.int32)) and (back[once[t]] == t or back[once[t]] == theirs.decode(w)) for t, w in wanted.items()}
+            same = {t: plain[once[t]] == w and (back[once[t]] == t or back[once[t]] == theirs.decode(w)) for t, w in wanted.items()}
             ids = [None if t is None else own[once[t]] for t in texts]
             trip = [None if t is None else back[once[t]] == t for t in texts]
             parity = [same.get(t) for t in texts]
