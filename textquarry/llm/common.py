@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,36 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 yield batch.slice(a, b - a)
 
 
+#: What an operator keeps in a worker from task to task: name -> how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def _give_back() -> None:
+    """Memory that is free in this process goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _lean(work, own: str | None, batches):
+    others = [drop for name, drop in KEPT.items() if name != own]
+    for drop in others:
+        drop()
+    if others:
+        _give_back()
+    try:
+        yield from work(batches)
+    finally:
+        _give_back()
+
+
+def lean(work, own: str | None = None):
+    """``work`` (batches to batches) for workers that serve other stages before and after: it starts without what other
+    operators KEPT (``own`` stays), and what it freed does not stay with the worker. An executor's workers and heap share its memory."""
+    return lambda batches: _lean(work, own, batches)
+
+
 def ascii_lower(column):
     """A-Z only: `lower` where a text is ASCII, else letter by letter."""
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import connected_components, slices, written
+from textquarry.llm.common import connected_components, lean, slices, written
 from textquarry.llm.simhash import BLOCK, _near, _spread, blocks, gridded
 
 SEED, SHINGLE, SIMILARITY = 42, 5, 0.8
@@ -308,25 +308,25 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, left: int = LEFT, right
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
     words = ", ".join(f"{w} long" for w in _WORDS)
-    each = written(rows.mapInArrow(_fingerprints, f"doc_id long, tid long, fp long, n int, {words}"), "fingerprints")
+    each = written(rows.mapInArrow(lean(_fingerprints), f"doc_id long, tid long, fp long, n int, {words}"), "fingerprints")
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tid")).alias("text"), *(F.first(c).alias(c) for c in ("n", *_WORDS)))
     distinct = written(distinct, "distinct")
     total = distinct.count()
     screened = ", ".join(f"{w} long" for w in _WORDS[:SCREEN])
-    spread = distinct.select("fp", "n", *_WORDS).mapInArrow(_replicated, f"key int, fp long, n int, {screened}, home boolean")
-    edges = written(gridded(spread, block).mapInArrow(_met, "a long, b long").distinct(), "candidates")
+    spread = distinct.select("fp", "n", *_WORDS).mapInArrow(lean(_replicated), f"key int, fp long, n int, {screened}, home boolean")
+    edges = written(gridded(spread, block).mapInArrow(lean(_met), "a long, b long").distinct(), "candidates")
 
     # One row of each text that some candidate edge names.
     named = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct().join(distinct.select("fp", "text.*"), "fp")
     chosen = _small(written(named.select("fp", F.col("doc_id").alias("__id"), "tid"), "chosen"))
     texts = rows.join(chosen, (rows["tid"] == chosen["tid"]) & rows["doc_id"].eqNullSafe(chosen["__id"])).select("fp", "text")
-    sets = written(texts.mapInArrow(_sets, "fp long, hashes array<long>").dropDuplicates(["fp"]), "sets")
+    sets = written(texts.mapInArrow(lean(_sets), "fp long, hashes array<long>").dropDuplicates(["fp"]), "sets")
     sure = written(confirmed(edges, sets), "confirmed")
     roots = written(connected_components(sure), "roots")
     open_parts = apart(edges, roots)
     if open_parts is not None:
         grid = grid_of_sets(open_parts, left, right).join(sets, "fp").repartition("key", "h", "p").sortWithinPartitions("key", "h", "p")
-        more = written(grid.select("key", "h", "p", "fp", "root", "home", "hashes").mapInArrow(_compared, "a long, b long"), "more")
+        more = written(grid.select("key", "h", "p", "fp", "root", "home", "hashes").mapInArrow(lean(_compared), "a long, b long"), "more")
         if not more.isEmpty():
             roots = written(connected_components(sure.unionByName(more)), "roots")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import slices, table
+from textquarry.llm.common import KEPT, lean, slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that are encoded at once; an encoding takes some fifty times its text.
@@ -195,6 +195,9 @@ def _encoder(digest: int, data: bytes):
     return mine, theirs
 
 
+KEPT["encoder"] = _encoder.cache_clear
+
+
 def encoder(data: bytes):
     return _encoder(zlib.crc32(data), data)
 
@@ -239,7 +242,7 @@ def encoded(docs: DataFrame, model: str = MODEL, threads: int = 2, parity_share:
 
     typed = docs.withColumn("text", F.col("text").cast("string"))
     extra = {"__tq_ids": F.lit(None).cast("array<int>"), "__tq_round_trip": F.lit(None).cast("boolean"), "__tq_parity": F.lit(None).cast("boolean")}
-    return typed.mapInArrow(encode, typed.withColumns(extra).schema)
+    return typed.mapInArrow(lean(encode, own="encoder"), typed.withColumns(extra).schema)
 
 
 def _lists(ids: list) -> pa.Array:
@@ -263,7 +266,7 @@ def decoded(rows: DataFrame, ids: str = "__tq_ids", model: str = MODEL) -> DataF
             found = iter(mine.decode([np.array(x, np.int32) for x in each if x is not None]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else next(found) for x in each], pa.string())], [*batch.schema.names, "__tq_text"])
 
-    return rows.mapInArrow(decode, rows.withColumn("__tq_text", F.lit(None).cast("string")).schema)
+    return rows.mapInArrow(lean(decode, own="encoder"), rows.withColumn("__tq_text", F.lit(None).cast("string")).schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

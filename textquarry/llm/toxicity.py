@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import slices, table, written
+from textquarry.llm.common import lean, slices, table, written
 
 #: Rows of the table of ratios up to which it is broadcast.
 MOST_ROWS = 1 << 21
@@ -103,7 +103,7 @@ def counted(training: DataFrame, least: int = LEAST) -> DataFrame:
     continuation counts in either class and in both (x0, x1, x), and n(w) as a context (y0, y1). TOTALS: one row with
     the number of pairs that a class has once (x0, x1) and twice (y0, y1).
     """
-    pairs = training.select("text", "toxic").mapInArrow(_counted, "v long, w long, n0 int, n1 int").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    pairs = training.select("text", "toxic").mapInArrow(lean(_counted), "v long, w long, n0 int, n1 int").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     zero, flag = F.lit(0).cast("long"), lambda c: c.cast("int").cast("long")
     has = [F.col(n) > 0 for n in ("n0", "n1")]
     kept = pairs.where(F.col("n0") + F.col("n1") >= least).select(F.lit(PAIR).alias("kind"), "v", "w", F.col("n0").alias("x0"), F.col("n1").alias("x1"), zero.alias("x"), zero.alias("y0"), zero.alias("y1"))
@@ -272,7 +272,7 @@ def _joined(rows: DataFrame, ratios: DataFrame, n_ratios: int, other: float, fin
     steps between sorted 64-bit keys, and gets one number back for each of them in that order (two for a word, which may be a context as well; NaN
     where the table has none). So neither documents nor keys are repeated for each document, and no answer carries keys.
     """
-    groups = written(rows.mapInArrow(_packed, "g long, rows binary"), "groups")
+    groups = written(rows.mapInArrow(lean(_packed), "g long, rows binary"), "groups")
     likely = rows.sparkSession.sparkContext.broadcast(Likely(ratios, n_ratios))
     parts = max(1, -(-n_ratios // PART_ROWS), -(-groups.count() // PART_GROUPS))
 
@@ -307,7 +307,7 @@ def _joined(rows: DataFrame, ratios: DataFrame, n_ratios: int, other: float, fin
 
     part = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(parts).cast("long"), 32).cast("int")
     dealt = ratios.select(part.alias("part"), "kind", "key", "ratio")
-    asked = groups.mapInArrow(ask, "part int, g long, words binary, pairs binary")
+    asked = groups.mapInArrow(lean(ask), "part int, g long, words binary, pairs binary")
     answers = asked.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(answer, "g long, part int, single binary, gap binary, full binary")
     return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(apply, schema)
 
@@ -324,7 +324,7 @@ def _applied(rows: DataFrame, ratios: DataFrame, other: float, finish, schema) -
         for batch in slices(batches):
             yield finish(batch, _features(shared.value, batch.column("text")))
 
-    return rows.mapInArrow(apply, schema)
+    return rows.mapInArrow(lean(apply), schema)
 
 
 class Curve:
