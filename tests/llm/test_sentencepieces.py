@@ -1,6 +1,7 @@
 import struct
 import time
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -112,3 +113,36 @@ def test_words_cost_less_than_texts():
         got.append([list(ids) for at in range(0, len(texts), 100) for ids in encode(texts[at : at + 100])])
         took.append(time.process_time() - start)
     assert got[0] == got[1] and took[0] < 0.85 * took[1], took
+
+
+def test_frequent_words_cost_one_lookup_a_batch():
+    """A word was once looked up wherever it stood, and new ones went through the model's own cache and pre-tokenizer."""
+    with open(S.MODEL, "rb") as f:
+        mine = S.Encoder(S.Spec(f.read()))
+    asked = []
+
+    class Kept(dict):
+        def get(self, word):
+            asked.append(word)
+            return super().get(word)
+
+    mine.kept = Kept()
+    texts = ["ban the hello ban " * 50 + "ban", "the\nhello ban", " ban  the", "", "ban "]
+    assert [i.tolist() for i in mine.encode(texts)] == [mine.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len(set(asked)) < 10
+
+
+def test_a_wrong_id_is_found_in_any_text(spark, monkeypatch):
+    """Parity holds the ids of every text against the library's, and decodes what was encoded, not what the library gave."""
+    data = S.read_model(spark, S.MODEL)
+    mine, theirs = S.Encoder(S.Spec(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+    mine.kept["hello"] = mine.encode(["world"])[0].tobytes()
+    monkeypatch.setattr(S, "encoder", lambda _: (mine, theirs))
+    taken = []
+    docs = spark.createDataFrame([(1, "hello you")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, work, schema: taken.append(work) or self)
+    S.encoded(docs)
+    batch = pa.RecordBatch.from_pydict({"text": ["a hello", "a world", None, "", "a hello"]})
+    out = next(taken[0](iter([batch])))
+    assert out["__tq_parity"].to_pylist() == [False, True, None, True, False]
+    assert out["__tq_round_trip"].to_pylist() == [False, True, None, True, False]

@@ -24,6 +24,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ENCODED_AT_ONCE = 256 << 10
 #: Words that a worker keeps with their ids, and the longest of these.
 WORDS_KEPT, LONGEST_KEPT = 400_000, 64
+#: New words that are encoded as one text.
+JOINED = 32
 MARK = "\N{LOWER ONE EIGHTH BLOCK}"
 WORD = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
 #: Kinds of pieces in the file (fixed values).
@@ -102,8 +105,8 @@ def merges(spec: Spec) -> list[tuple[str, str]]:
     return [(p[:i], p[i:]) for p, _, _ in order for i in range(1, len(p)) if p[:i] in known and p[i:] in known]
 
 
-def built(spec: Spec):
-    """The tokenizers.Tokenizer of a model."""
+def built(spec: Spec, **options):
+    """The tokenizers.Tokenizer of a model; ``options`` of its BPE, which change no ids."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     vocabulary = [p for p, _, _ in spec.pieces]
@@ -111,7 +114,7 @@ def built(spec: Spec):
         low = min(s for _, s, kind in spec.pieces if kind == NORMAL) - 10
         model = models.Unigram([(p if kind in (NORMAL, BYTE) else f"\x00{i}", s if kind == NORMAL else low) for i, (p, s, kind) in enumerate(spec.pieces)], unk_id=spec.unknown, byte_fallback=spec.byte_fallback)
     else:
-        model = models.BPE({p: i for i, p in enumerate(vocabulary)}, merges(spec), unk_token=vocabulary[spec.unknown], fuse_unk=True, byte_fallback=spec.byte_fallback)
+        model = models.BPE({p: i for i, p in enumerate(vocabulary)}, merges(spec), unk_token=vocabulary[spec.unknown], fuse_unk=True, byte_fallback=spec.byte_fallback, **options)
     out = Tokenizer(model)
     steps = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
     if spec.squeeze:
@@ -130,12 +133,17 @@ class Encoder:
     def __init__(self, spec: Spec):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.words, self.kept = built(spec), None, {}
-        if spec.splits() and not spec.charsmap and not spec.squeeze:
+        by_words = spec.splits() and not spec.charsmap and not spec.squeeze
+        # Words are kept here; the model's own cache would fill with such as are asked once.
+        options = {"cache_capacity": 0} if by_words and spec.kind == BPE else {}
+        self.tokenizer, self.words, self.kept = built(spec, **options), None, {}
+        if by_words:
             self.front = MARK if spec.prefix else ""
-            # The same model on words that the normaliser has made already: on each as it is, and on many that part before every marker.
+            # The same model on words that the normaliser has made already: on each as it is, and on many, which merges
+            # do not reach over; a unigram model's sums of scores are kept apart too.
             self.words, self.many = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
-            self.many.pre_tokenizer = pre_tokenizers.Metaspace(MARK, prepend_scheme="never", split=True)
+            if spec.kind == UNIGRAM:
+                self.many.pre_tokenizer = pre_tokenizers.Metaspace(MARK, prepend_scheme="never", split=True)
             self.opens = np.array([kind == NORMAL and MARK in p for p, _, kind in spec.pieces])
             self.find, self.plain = re.compile(WORD).findall, re.compile(f"{MARK}[^{MARK}]+").fullmatch
 
@@ -143,19 +151,27 @@ class Encoder:
         """The words of a text; where a marker is put before the text, words with one marker in front go without it."""
         if not self.front:
             return self.find(text.replace(" ", MARK))
-        if MARK in text or "  " in text or text[:1] == " ":
-            return [w[1:] if self.plain(w) else w for w in self.find(MARK + text.replace(" ", MARK))]
-        return text.split(" ") if text else []
+        return [w[1:] if self.plain(w) else w for w in self.find(MARK + text.replace(" ", MARK))] if text else []
+
+    def _words(self, texts: list[str]) -> tuple[pa.Array, list[tuple[int, int]]]:
+        """The words of all texts, and where those of each text are. Texts whose words lie between single blanks are split at once."""
+        odd = {i: self._split(t) for i, t in enumerate(texts) if not t or not self.front or MARK in t or "  " in t or t[0] == " "}
+        lists = pc.split_pattern(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.string()), " ")
+        flat, ends = lists.flatten(), lists.offsets.to_pylist()
+        places, n = list(zip(ends, ends[1:])), len(flat)
+        for i, words in odd.items():
+            places[i] = n, n + len(words)
+            n += len(words)
+        return pa.concat_arrays([flat, pa.array(list(chain.from_iterable(odd.values())), pa.string())]), places
 
     def _ids(self, words: list[str]) -> dict[str, bytes]:
         """Of different words. Those with one marker in front are encoded many at once, as each of them parts again before its marker: the piece that holds it is the word's first."""
         plain = [w for w in words if w and MARK not in w] if self.front else list(filter(self.plain, words))
-        parts, out = [plain[at : at + 4096] for at in range(0, len(plain), 4096)], {}
-        for part, e in zip(parts, self.many.encode_batch_fast([self.front + self.front.join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(e.ids, np.int32)
-            starts = (np.nonzero(self.opens[ids])[0] * 4).tolist()
-            if len(starts) == len(part):  # else the marker has no piece
-                out.update(zip(part, map(ids.tobytes().__getitem__, map(slice, starts, [*starts[1:], ids.nbytes]))))
+        joined = [self.front + self.front.join(plain[at : at + JOINED]) for at in range(0, len(plain), JOINED)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.many.encode_batch_fast(joined, add_special_tokens=False)), np.int32)
+        starts, out = (np.nonzero(self.opens[ids])[0] * 4).tolist(), {}
+        if len(starts) == len(plain):  # else the marker has no piece
+            out.update(zip(plain, map(ids.tobytes().__getitem__, map(slice, starts, [*starts[1:], ids.nbytes]))))
         lone = [w for w in words if w not in out]
         whole = [w if MARK in w else self.front + w for w in lone]
         out.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(lone, self.words.encode_batch_fast(whole, add_special_tokens=False)))
@@ -164,14 +180,17 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.words is None:
             return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = list(map(self._split, texts))
-        found = [list(map(self.kept.get, words)) for words in split]
-        new = [[w for w, ids in zip(*both) if ids is None] for both in zip(split, found)]
-        made = self._ids(list(set(chain.from_iterable(new))))
-        out = []
-        for known, missing in zip(found, new):
-            rest = map(made.__getitem__, missing)
-            out.append(np.frombuffer(b"".join([next(rest) if ids is None else ids for ids in known]), np.int32))
+        flat, places = self._words(texts)
+        coded = flat.dictionary_encode()
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        found = list(map(self.kept.get, words))
+        made = self._ids([w for w, ids in zip(words, found) if ids is None])
+        found = [made[w] if ids is None else ids for w, ids in zip(words, found)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, sizes = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.frombuffer(b"".join(found), np.int32)[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+        out = [ids[ends[a] : ends[b]] for a, b in places]
         # What came first stays, frequent words among it; long words go again.
         room = WORDS_KEPT - len(self.kept)
         self.kept.update((w, ids) for w, ids in islice(made.items(), max(0, room)) if len(w) <= LONGEST_KEPT)
@@ -229,12 +248,12 @@ def encoded(docs: DataFrame, model: str = MODEL, threads: int = 2, parity_share:
             texts = batch.column("text").to_pylist()
             once = {t: i for i, t in enumerate(dict.fromkeys(t for t in texts if t is not None))}
             own = mine.encode(list(once))
-            plain = [i.tolist() for i in own]
-            back = mine.decode(plain)
             chosen = [t for t in once if parity_share == 1 or zlib.crc32(t.encode()) % parity_share == 0]
             wanted = dict(zip(chosen, theirs.encode(chosen, num_threads=1) if chosen else ()))
+            equal = {t: len(w) == len(own[once[t]]) and bool((np.fromiter(w, np.int32, len(w)) == own[once[t]]).all()) for t, w in wanted.items()}
+            back = mine.decode([wanted[t] if equal.get(t) else i for t, i in zip(once, own)])
             # Where the decoder gives the text back, the library would have to as well; only others are decoded by both.
-            same = {t: plain[once[t]] == w and (back[once[t]] == t or back[once[t]] == theirs.decode(w)) for t, w in wanted.items()}
+            same = {t: equal[t] and (back[once[t]] == t or back[once[t]] == theirs.decode(w)) for t, w in wanted.items()}
             ids = [None if t is None else own[once[t]] for t in texts]
             trip = [None if t is None else back[once[t]] == t for t in texts]
             parity = [same.get(t) for t in texts]
