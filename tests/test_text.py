@@ -107,3 +107,17 @@ def test_folding_over_every_code_point(spark):
     wrong = [(c, f) for k, t in rows for c, f in zip(t.split("|"), got[k], strict=True) if f != c.casefold()]
     # Spark may know letters that this Python does not know yet.
     assert all(unicodedata.category(c) == "Cn" for c, _ in wrong), wrong
+
+
+def test_blanks_and_neighbouring_topics(spark):
+    """Runs of any white space are squeezed, and topics of one word are masked in one pass as they were one after another."""
+    blanks = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    texts = ["a" + x + y + "b" + y + x + " " for x in blanks for y in ("", " ", "\n", x)] + ["der que der, le/le -le le der.\nder der_ Der"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    aliases = (("one", ("der", "der que")), ("two", ("le", "que")))
+    got = df.select(text.squeezed(F.col("t")).alias("s"), text._topics_masked(F.col("t"), "<topic>", aliases).alias("m")).collect()
+    assert [r.s for r in got] == [" ".join(t.split()) for t in texts]
+    want = texts[-1]
+    for alias in ("der que", "der", "que", "le"):
+        want = re.sub(rf"(?<![\w/-]){alias}(?![\w/-])", "<topic>", want)
+    assert got[-1].m == want
